@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,11 +37,11 @@ def token_length(chars: Column) -> Column:
     return F.ceil(chars / CHARS_PER_TOKEN).cast("long") + END_TOKENS
 
 
-def pack_cell(ids: list, lengths: np.ndarray, tiers: tuple[int, ...] = TIERS, group_windows: int = GROUP_WINDOWS) -> list[tuple]:
-    """Rows (index into ids, piece, start, length, tier, window, offset, group) of one cell."""
+def pack_cell(lengths: list[int], tiers: tuple[int, ...] = TIERS, group_windows: int = GROUP_WINDOWS) -> list[tuple]:
+    """Rows (index into lengths, piece, start, length, tier, window, offset, group) of one cell."""
     top = tiers[-1]
     own: list[list[tuple[int, int, int, int]]] = [[] for _ in tiers]
-    for i, n in enumerate(lengths.tolist()):
+    for i, n in enumerate(lengths):
         full, rest = divmod(n, top)
         for k in range(full):
             own[-1].append((top, i, k, k * top))
@@ -99,9 +98,8 @@ def pack_cell(ids: list, lengths: np.ndarray, tiers: tuple[int, ...] = TIERS, gr
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["id", "length"], kind="stable")
-    ids = pdf["id"].tolist()
     cell = int(pdf["cell"].iloc[0])
-    rows = pack_cell(ids, pdf["length"].to_numpy())
+    rows = pack_cell(pdf["length"].tolist())
     out = pd.DataFrame(rows, columns=["i", "piece", "start", "length", "tier", "window_no", "offset", "step_group"])
     out["doc_id"] = pdf["id"].astype("Int64").take(out.pop("i").to_numpy()).array if len(out) else pd.array([], "Int64")
     out["cell"] = cell
