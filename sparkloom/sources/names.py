@@ -15,9 +15,8 @@ _PLAIN = re.compile(r"[a-z0-9]")
 def encode(name: str) -> str:
     out = []
     for i, c in enumerate(name):
-        after = name[i + 1 : i + 2]
-        plain = _PLAIN.match(c) or (c == "_" and 0 < i < len(name) - 1 and after not in ("_", "x") and name[i - 1] != "_")
-        out.append(c if plain else f"_x{ord(c):x}_")
+        around = _PLAIN.match(name[i - 1 : i]) and _PLAIN.match(name[i + 1 : i + 2]) and name[i + 1] != "x" if c == "_" and i else None
+        out.append(c if _PLAIN.match(c) or around else f"_x{ord(c):x}_")
     return "".join(out)
 
 

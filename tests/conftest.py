@@ -30,4 +30,7 @@ def spark():
 def engine(spark):
     from sparkloom.engine import Engine
 
+    for db in spark.catalog.listDatabases():  # tests share a session, not their tables
+        if db.name.startswith("p_"):
+            spark.sql(f"DROP DATABASE `{db.name}` CASCADE")
     return Engine(spark, tempfile.mkdtemp(), project="project1", dataset="main")
