@@ -31,12 +31,33 @@ BOILERPLATE = (
 )
 
 
-def line_ok(line: Column) -> Column:
-    """Whether a line passes the punctuation, navigation and boilerplate rules (a blank line passes)."""
-    symbols = F.length(line) - F.length(F.regexp_replace(line, SYMBOL, ""))
-    noisy = (symbols >= SYMBOLS) & (symbols > F.length(line) * SYMBOL_SHARE)
-    separators = F.size(F.split(F.regexp_replace(line, SEPARATOR, "\u0001\u0001"), "\u0001\u0001")) - 1
-    return (F.trim(line) == "") | (line.rlike(TERMINAL) & ~noisy & ~((separators >= SEPARATORS) | line.rlike(MENU)) & ~line.rlike(BOILERPLATE))
+#: One of these is in the lower-case text of any line that BOILERPLATE matches, one of those in any line with a separator: texts without them skip the expression.
+_BOILERPLATE_HINTS = ("javascript", "cookie", "terms", "privacy", "click", "subscribe", "newsletter", "lorem", "reserved", "follow us", "powered", "not found")
+_SEPARATOR_HINTS = tuple("|»›·•>")
+
+
+def _any(text: Column, parts: tuple[str, ...]) -> Column:
+    out = F.contains(text, F.lit(parts[0]))
+    for p in parts[1:]:
+        out = out | F.contains(text, F.lit(p))
+    return out
+
+
+def line_ok(line: Column, boilerplate: Column, separators: Column) -> Column:
+    """Whether a line passes the punctuation, navigation and boilerplate rules (a blank line passes).
+
+    The flags say whether the text can hold a boilerplate phrase or a separator at all.
+    """
+    end = F.rtrim(line)
+    terminal = end.endswith(".") | end.endswith("!") | end.endswith("?") | line.rlike(TERMINAL)
+    symbols = F.length(F.regexp_replace(line, SYMBOL.replace("[^", "[") + "+", ""))
+    noisy = symbols > F.greatest(F.lit(SYMBOLS - 0.5), F.length(line) * SYMBOL_SHARE)
+    parted = separators & (F.size(F.split(F.regexp_replace(line, SEPARATOR, "\u0001\u0001"), "\u0001\u0001")) - 1 >= SEPARATORS)
+    return (F.trim(line) == "") | (terminal & ~noisy & ~parted & ~line.rlike(MENU) & ~(boilerplate & line.rlike(BOILERPLATE)))
+
+
+def _visible(t: Column) -> Column:
+    return F.length(t) - F.length(F.regexp_replace(t, r"\S+", ""))
 
 
 def clean_lines(docs: DataFrame, text_col: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:
@@ -50,17 +71,17 @@ def clean_lines(docs: DataFrame, text_col: str = "text", max_loss: float = MAX_L
     whatever their names, stay; one called ``kept_share`` is replaced.
     """
     text = col(text_col).cast("string")
-    visible = lambda t: F.length(F.regexp_replace(t, r"\s+", ""))
-    out = docs.withColumn("kept_share", F.array_join(F.filter(F.split(text, "\n", -1), line_ok), "\n"))
-    kept, cut = visible(F.col("kept_share")), F.col("kept_share")
-    had = visible(text)
-    out = out.where(F.col("kept_share").isNotNull()).select(
-        *[cut.alias(c) if c == text_col else col(c) for c in docs.columns if c.lower() != "kept_share"], had.alias("__had"), kept.alias("__kept")
-    )
-    out = out.where((F.col("__kept") > 0) & (F.col("__kept") >= F.lit(1 - max_loss) * F.col("__had")))
-    out = out.withColumn("kept_share", F.round(F.col("__kept") / F.col("__had"), 6)).drop("__had", "__kept")
-    same = [c for c in out.columns if c.lower() == "n_chars"]
-    return out.withColumn(same[0], F.length(col(text_col)).cast(out.schema[same[0]].dataType)) if same else out
+    # Each step binds the one before as a lambda's variable, so that nothing is evaluated twice; the generator drops rejected texts.
+    flags = F.array(F.struct(text.alias("t"), _any(F.lower(text), _BOILERPLATE_HINTS).alias("b"), _any(text, _SEPARATOR_HINTS).alias("s")))
+    cut = F.transform(flags, lambda d: F.struct(d["t"].alias("t"), F.array_join(F.filter(F.split(d["t"], "\n", -1), lambda x: line_ok(x, d["b"], d["s"])), "\n").alias("c")))
+    counted = F.transform(cut, lambda d: F.struct(d["c"].alias("c"), _visible(d["t"]).alias("had"), F.when(d["c"] != d["t"], _visible(d["c"])).alias("kept")))
+    judged = F.transform(counted, lambda d: F.struct(d["c"].alias("c"), d["had"].alias("had"), F.coalesce(d["kept"], d["had"]).alias("kept")))
+    passed = F.filter(judged, lambda d: (d["kept"] > 0) & (d["kept"] >= F.lit(1 - max_loss) * d["had"]))
+    names = [c for c in docs.columns if c.lower() != "kept_share"]
+    out = docs.where(col(text_col).isNotNull()).select(*[col(c) for c in names if c != text_col], F.explode(passed).alias("__p"))
+    length = F.length(F.col("__p.c"))
+    given = {text_col: F.col("__p.c")} | {c: length.cast(docs.schema[c].dataType) for c in names if c.lower() == "n_chars" and c != text_col}
+    return out.select(*[given.get(c, col(c)).alias(c) for c in names], F.round(F.col("__p.kept") / F.col("__p.had"), 6).alias("kept_share"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
