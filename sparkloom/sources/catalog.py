@@ -230,6 +230,23 @@ class Catalog:
         meta["tables"][encode(new[2])] = meta["tables"].pop(encode(name[2]))
         self._save(database(*name[:2]))
 
+    # ------------------------------------------------------------- routines
+    def routines(self) -> list[tuple[str, str, str]]:
+        """(text, project, dataset in force) of the persistent routines."""
+        return [tuple(r) for meta in self._meta.values() for r in meta.get("routines", {}).values()]
+
+    def save_routine(self, name: tuple[str, str, str], text: str, scope: Scope) -> None:
+        """Keeps a routine's statement for later sessions, if its dataset exists."""
+        db = database(*name[:2])
+        if db in self._meta:
+            self._meta[db].setdefault("routines", {})[name[2].lower()] = [text, scope.project, scope.dataset]
+            self._save(db)
+
+    def drop_routine(self, name: tuple[str, str, str]) -> None:
+        db = database(*name[:2])
+        if self._meta.get(db, {}).get("routines", {}).pop(name[2].lower(), None):
+            self._save(db)
+
     # --------------------------------------------------------------- writes
     def checked(self, name: tuple[str, str, str], df: DataFrame) -> DataFrame:
         """``df`` with a failure in place of a null in a REQUIRED column; Parquet tables do not check."""
