@@ -75,8 +75,8 @@ TEMPLATES = (
     Template("all-rights-reserved", "All rights reserved.", ("all", "rights", "reserved")),
 )
 
-#: Substrings of the lower-case text, one of which every candidate block contains.
-MARKS = ("licens", "licenc", "rights reserved", "hereby granted", "redistribution", "public domain", "copyright and related")
+#: Parts of words of the lower-case text, one of which every candidate block contains; single words, so that a line break cannot split them.
+MARKS = ("licens", "licenc", "reserved", "hereby", "redistribut", "unencumbered", "copyright")
 _WORD = re.compile(r"\d+(?:\.\d+)+|\w+")
 
 
@@ -84,8 +84,8 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def blocks(text: str) -> list[tuple[int, str]]:
-    """Candidate blocks (line number, text): lines with a mark, and paragraphs of several lines with a mark or a license's words around it."""
+def blocks(text: str) -> list[tuple[int, int, str]]:
+    """Candidate blocks (first line, last line, text): lines with a mark, each followed by its paragraph if that has more lines."""
     out, lines = [], text.split("\n")
     start = 0
     for i in range(len(lines) + 1):
@@ -93,10 +93,9 @@ def blocks(text: str) -> list[tuple[int, str]]:
             continue
         part = lines[start:i]
         hit = [j for j, x in enumerate(part) if any(m in x.lower() for m in MARKS)]
-        out.extend((start + j, part[j]) for j in hit)
-        joined = " ".join(part)
-        if len(part) > 1 and (hit or any(m in joined.lower() for m in MARKS)):
-            out.append((start, joined))
+        out.extend((start + j, start + j, part[j]) for j in hit)
+        if len(part) > 1 and hit:
+            out.append((start, i - 1, " ".join(part)))
         start = i + 1
     return out
 
@@ -141,6 +140,14 @@ class Matcher:
         _, _, i, saved, d = min(hits)
         return self.templates[i].license, round(saved, 4), *d
 
+    def scan(self, text: str) -> list[tuple]:
+        """(line, license, share saved, words missing, words added) of a text; a paragraph counts for licenses that none of its lines names by itself."""
+        found: dict[tuple[int, str], tuple] = {}
+        for first, last, block in blocks(text):
+            if (hit := self.best(block)) and not any((i, hit[0]) in found for i in range(first, last + 1)):
+                found[(first, hit[0])] = (first, *hit)
+        return list(found.values())
+
 
 _matcher: list[Matcher] = []
 
@@ -149,8 +156,8 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     if not _matcher:
         _matcher.append(Matcher())
     for pdf in batches:
-        out = [(i, line, *hit) for i, t in zip(pdf["doc_id"].array, pdf["text"]) for line, b in blocks(t) if (hit := _matcher[0].best(b))]
-        yield pd.DataFrame(out, columns=["doc_id", "line", "license", "saved", "missing_words", "added_words"]).drop_duplicates(["doc_id", "line", "license"])
+        out = [(i, *hit) for i, t in zip(pdf["doc_id"].array, pdf["text"]) for hit in _matcher[0].scan(t)]
+        yield pd.DataFrame(out, columns=["doc_id", "line", "license", "saved", "missing_words", "added_words"])
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -118,11 +118,12 @@ def test_licenses(spark):
         (1, "Prose first.\nReleased under the MIT License."), (2, "Text.\n\n" + wrapped + "\n\nMore."), (3, "This work is licensed under the GNU General Public License, version 3."), (4, "This work is licensed under the GNU General Public License, version 2."),
         (5, "Licensed under CC BY-NC 4.0."), (6, "Licensed under CC BY 4.0."), (7, "A licensed plumber came to the house and all was well."), (8, None), (9, ""), (10, "All rights reserved."), (11, licenses._APACHE + "\n\n    http://example.org"),
         (12, "licence " * 30_000), (13, "Released under the MIT License."), (13, "Released under the MIT License."), (14, licenses._BSD), (15, "This work is licensed under the GNU Lesser General Public License, version 3."), (None, "Licensed under CC BY-SA 4.0."),
+        (16, "All the rights in the house are reserved for guests, it said."), (17, next(t.text for t in licenses.TEMPLATES if t.license == "ISC").replace(" ", "\n")),
     ]
     df = spark.createDataFrame(rows, DOC).withColumn("license", F.lit(0)).withColumn("line", F.lit("x"))
     out = licenses.scan_licenses(df).collect()
     got = {(r["doc_id"], r["license"]) for r in out}
-    assert got == {(1, "MIT"), (2, "MIT"), (3, "GPL-3.0"), (4, "GPL-2.0"), (5, "CC-BY-NC-4.0"), (6, "CC-BY-4.0"), (10, "all-rights-reserved"), (11, "Apache-2.0"), (13, "MIT"), (14, "BSD-2-Clause"), (15, "LGPL-3.0"), (None, "CC-BY-SA-4.0")}
+    assert got == {(1, "MIT"), (2, "MIT"), (3, "GPL-3.0"), (4, "GPL-2.0"), (5, "CC-BY-NC-4.0"), (6, "CC-BY-4.0"), (10, "all-rights-reserved"), (11, "Apache-2.0"), (13, "MIT"), (14, "BSD-2-Clause"), (15, "LGPL-3.0"), (None, "CC-BY-SA-4.0"), (17, "ISC")}
     assert sum(r["doc_id"] == 13 for r in out) == 2 and next(r for r in out if r["doc_id"] == 1)["line"] == 1
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
