@@ -218,7 +218,7 @@ def format_chats(messages: DataFrame, calls: DataFrame, results: DataFrame, sche
 def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(messages, calls, results) of a table of plain turns (conv_id, turn, role, text).
 
-    Such a table holds no tool calls, so each user turn is read as a call of the tool
+    Where a table holds no tool calls (see from_messages for those that do), each user turn is read as a call of the tool
     ``reply`` with the identifier ``conversation-turn``; the call needs the one of the
     user turn before it, and the next assistant turn is its result.  A turn's
     identifier is computed from its own neighbours, so both sides are made apart and
@@ -240,6 +240,28 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return messages, calls, results
 
 
+_CALLS = "tool_calls array<struct<id: string, name: string, arguments: string, needs: array<string>>>, content string, tool_call_id string"
+
+
+def from_messages(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(messages, calls, results) of a table of turns (conv_id, turn, role, text) whose tool traffic is JSON.
+
+    An assistant's text ``{"content": ..., "tool_calls": [{"id", "name", "arguments", "needs"}]}``
+    holds calls, a tool's text ``{"tool_call_id": ..., "content": ...}`` is a result.  Any
+    other text, JSON or not, is a message as it stands.
+    """
+    t = turns.select(col("conv_id").alias("conv_id"), col("turn").cast("long").alias("pos"), col("role").cast("string").alias("role"), col("text").cast("string").alias("text"))
+    t = t.withColumn("j", F.from_json("text", _CALLS))
+    is_call = F.coalesce((F.col("role") == "assistant") & F.col("j.tool_calls").isNotNull(), F.lit(False))
+    is_result = F.coalesce((F.col("role") == "tool") & F.col("j.tool_call_id").isNotNull(), F.lit(False))
+    each = t.where(is_call).select("conv_id", "pos", F.explode("j.tool_calls").alias("c"))
+    calls = each.select("conv_id", "pos", F.col("c.id").alias("call_id"), F.col("c.name").alias("tool"), F.col("c.arguments").alias("args"), F.col("c.needs").alias("needs"))
+    results = t.where(is_result).select("conv_id", "pos", F.col("j.tool_call_id").alias("call_id"), F.col("j.content").alias("text"))
+    text = F.when(is_call, F.col("j.content")).otherwise(F.col("text"))
+    messages = t.where(~is_result & ~(is_call & F.col("j.content").isNull())).select("conv_id", "pos", "role", text.alias("text"))
+    return messages, calls, results
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, formatted."""
     return format_chats(*from_turns(table(spark, sf_dir, "conversations")), SCHEMAS)

@@ -182,6 +182,18 @@ def test_format_chats(spark):
     assert chat.format_chats(m.limit(0), c.limit(0), r.limit(0), schemas).count() == 0
 
 
+def test_chats_from_json_messages(spark):
+    call = json.dumps({"content": "let me see", "tool_calls": [{"id": "b", "name": "add", "arguments": {"x": 2}, "needs": ["a"]}, {"id": "a", "name": "add", "arguments": {"x": 1}}]})
+    silent = json.dumps({"content": None, "tool_calls": [{"id": "c", "name": "add", "arguments": {}}]})
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", call), (1, 2, "tool", '{"tool_call_id": "a", "content": "one"}'), (1, 3, "tool", "plain"), (1, 4, "assistant", '{"not": "a call"}'), (1, 5, "assistant", silent), (2, 0, "assistant", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("j", F.lit(1))
+    out = {r["conv_id"]: r for r in chat.format_chats(*chat.from_messages(df), {"add": {"type": "object", "required": ["x"]}}).collect()}
+    one = json.loads(out[1]["chat"])
+    assert [(c["id"], c["valid"], c.get("result")) for c in one["calls"]] == [("a", True, "one"), ("b", True, None), ("c", False, None)] and one["calls"][1]["arguments"] == {"x": 2}
+    assert [(m["role"], m["content"]) for m in one["messages"]] == [("user", "hi"), ("assistant", "let me see"), ("tool", "plain"), ("assistant", '{"not": "a call"}')]
+    assert json.loads(out[2]["chat"])["messages"] == [{"content": None, "role": "assistant"}]
+
+
 def test_chats_of_the_table(spark):
     df = spark.read.parquet(f"{SF}/conversations.parquet")
     turns = defaultdict(list)
