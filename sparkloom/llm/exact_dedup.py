@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import fuse
-from .common import col, shared_dir, small_side, table, written
+from .common import col, drop_path, shared_dir, small_side, table, written
 
 #: Generations of op4 and of the pipeline: three snapshots and the incoming batch.
 GENERATIONS = 4
@@ -88,7 +88,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = F.min(F.struct("gen", F.col("id").isNull().alias("no"), "id"))
     same = rows.groupBy("digest", "text").agg(least.alias("k"), F.collect_list(F.struct("id", "gen")).alias("m")).where("size(m) > 1")
     out = same.select("digest", F.explode("m").alias("m"), F.col("k.id").alias("keep_id"), F.col("k.gen").alias("keep_gen"))
-    return written(out.groupBy("m.id", "digest", "m.gen", "keep_id", "keep_gen").agg(F.count("*").alias("n")), f"{path}/groups")
+    groups = written(out.groupBy("m.id", "digest", "m.gen", "keep_id", "keep_gen").agg(F.count("*").alias("n")), f"{path}/groups")
+    for t in ("digests", "filters", "suspects"):  # not read again
+        drop_path(docs.sparkSession, f"{path}/{t}")
+    return groups
 
 
 def _digest(text: Column) -> Column:

@@ -192,7 +192,10 @@ def similar_edges(docs: DataFrame, id_col: str, text_col: str, path: str) -> Dat
     members = sets.select("bucket", F.pmod(F.xxhash64("bucket"), F.lit(cells)).alias("cell"), F.explode("ids").alias("id"))
     edge = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
     linked = members.join(rep.select("id", "sig"), "id").groupBy("cell").applyInPandas(_link, edge)
-    return written(linked.unionByName(same).distinct(), f"{path}/edges")
+    edges = written(linked.unionByName(same).distinct(), f"{path}/edges")
+    for t in ("signed", "rep", "buckets"):  # not read again
+        drop_path(spark, f"{path}/{t}")
+    return edges
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
