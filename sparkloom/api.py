@@ -204,6 +204,14 @@ class Api:
             out["numDmlAffectedRows"] = str(job.result.affected)
         return 200, out | ({"pageToken": str(nxt)} if nxt is not None else {})
 
+    # --------------------------------------------------------------- discovery
+    @route("GET", r"\$discovery/rest")
+    @route("GET", r"discovery/v1/apis/[^/]+/[^/]+/rest")
+    def discovery(self, query, body):
+        """The routes, by handler, in the form of a discovery document."""
+        methods = {name: {"httpMethod": m, "path": re.sub(r"\(\?P<(\w+)>[^)]*\)", r"{\1}", pattern.pattern[len("(?:.*/)?") : -len("/?$")])} for m, pattern, name in ROUTES if name not in ("nothing", "discovery")}
+        return 200, {"kind": "discovery#restDescription", "protocol": "rest", "methods": methods}
+
     # -------------------------------------------------- declared, without behaviour
     def nothing(self, query, body, **_):
         raise Unsupported("Not implemented")

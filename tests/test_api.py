@@ -133,3 +133,9 @@ def test_repl(engine):
     assert r.complete("d.ta", 0) == "d.tab" and not r.feed("exit")
     r.feed("reset")
     assert engine.catalog.projects() == []
+
+
+def test_discovery(api):
+    doc = call(api, "GET", "/$discovery/rest")[1]
+    assert doc == call(api, "GET", "/discovery/v1/apis/any/v2/rest")[1]
+    assert doc["methods"]["tables_get"] == {"httpMethod": "GET", "path": "projects/{project}/datasets/{dataset}/tables/{table}"}
