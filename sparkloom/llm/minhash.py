@@ -36,8 +36,9 @@ SEED = 20240917
 CELL_MEMBERS = 50_000
 
 _WORD = re.compile(r"\w+")
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 60_000
 _CHUNK = 1 << 15
+_SLICE = 512
 
 
 def coefficients(k: int = K, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -122,24 +123,26 @@ def estimate(sig: np.ndarray, others: np.ndarray) -> np.ndarray:
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     a, b = coefficients()
     for pdf in batches:
-        ids, sets = [], []
-        for i, text in zip(pdf["id"], pdf["text"]):
-            s = shingles(text)
-            if len(s):
-                ids.append(i)
-                sets.append(s)
-        if not ids:
-            continue
-        m = signatures(sets, a, b)
-        bands = m.reshape(len(ids), BANDS, ROWS)
-        yield pd.DataFrame(
-            {
-                "id": ids,
-                "sig": [r.tobytes() for r in m.astype(np.uint8)],
-                "whole": [xxhash.xxh3_128_digest(r.tobytes()) for r in m],
-                "bands": [[xxhash.xxh3_64_intdigest(x.tobytes(), seed=k) - 2**63 for k, x in enumerate(r)] for r in bands],
-            }
-        )
+        for start in range(0, len(pdf), _SLICE):  # a slice's arrays are all that is held besides the batch
+            part = pdf.iloc[start : start + _SLICE]
+            ids, sets = [], []
+            for i, text in zip(part["id"], part["text"]):
+                s = shingles(text)
+                if len(s):
+                    ids.append(i)
+                    sets.append(s)
+            if not ids:
+                continue
+            m = signatures(sets, a, b)
+            bands = m.reshape(len(ids), BANDS, ROWS)
+            yield pd.DataFrame(
+                {
+                    "id": ids,
+                    "sig": [r.tobytes() for r in m.astype(np.uint8)],
+                    "whole": [xxhash.xxh3_128_digest(r.tobytes()) for r in m],
+                    "bands": [[xxhash.xxh3_64_intdigest(x.tobytes(), seed=k) - 2**63 for k, x in enumerate(r)] for r in bands],
+                }
+            )
 
 
 def _link(pdf: pd.DataFrame) -> pd.DataFrame:
