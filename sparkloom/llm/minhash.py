@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, drop_path, shared_dir, small_side, table, written
+from .common import col, drop_path, shared_dir, small_batches, small_side, table, written
 
 SHINGLE = 3
 BANDS, ROWS = 36, 4
@@ -181,7 +181,8 @@ def similar_edges(docs: DataFrame, id_col: str, text_col: str, path: str) -> Dat
     src = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     kind = src.schema["id"].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("sig", T.BinaryType()), T.StructField("whole", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    signed = written(src.mapInPandas(_sign, schema), f"{path}/signed")
+    with small_batches(spark):
+        signed = written(src.mapInPandas(_sign, schema), f"{path}/signed")
     # documents with one signature are one node for banding
     reps = signed.groupBy("whole").agg(F.min("id").alias("id"))
     same = signed.select("id", "whole").join(reps.withColumnRenamed("id", "v"), "whole").where("id <> v").select(F.col("id").alias("u"), "v")
