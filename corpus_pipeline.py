@@ -35,7 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in windows and step groups."""
-    return packing.pack(docs)
+    return packing.pack_texts(docs)
 
 
 STAGES = [("quality rules", quality_rules), ("exact dedup", exact), ("near dedup", near), ("mix sources", mix), ("packing", pack)]

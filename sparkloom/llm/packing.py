@@ -21,11 +21,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, shared_dir, table, written
+from .common import col, shared_dir, small_batches, table, written
+from .tokens import count_tokens
 
 #: Window sizes in tokens, shortest first.
 TIERS = (512, 2048, 8192)
-#: Characters of a token, for tables that carry no token counts, and tokens added to each document as its end mark.
+#: Characters of a token, where pack() is given neither counts nor a vocabulary, and tokens added to each document as its end mark.
 CHARS_PER_TOKEN, END_TOKENS = 4, 1
 #: Documents of a cell on average, and windows of a step group.
 CELL_DOCS, GROUP_WINDOWS = 8192, 16
@@ -124,9 +125,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None,
     return rows.withColumn("cell", F.pmod(F.xxhash64("id", "length"), F.lit(cells)).cast("int")).groupBy("cell").applyInPandas(_pack, SCHEMA)
 
 
+def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``pack`` by the texts' own token counts (tokens.count_tokens, one count a row) and an end mark each."""
+    with small_batches(docs.sparkSession):  # pack() writes the counts before it returns
+        counts = count_tokens(docs, id_col, text_col, table_pass=False)
+        return pack(counts, length=F.coalesce("n_tokens", F.lit(0)) + END_TOKENS)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` packed into windows of all tiers."""
-    return pack(table(spark, sf_dir, "documents"))
+    """``documents`` packed into windows of all tiers, in tokens of the shipped vocabulary."""
+    return pack_texts(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op6_packing": op6_packing}

@@ -115,18 +115,19 @@ def frequent_table(docs: DataFrame, text_col: str, ranks: bytes, path: str) -> d
     return {p: len(enc.encode_ordinary(p)) for p in top}
 
 
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, table_pass: bool = True) -> DataFrame:
     """``(doc_id, n_tokens)``, one row for each row of ``docs``.
 
     The count is that of encoding the whole text with no special tokens; a null text
     has a null count, an empty text 0.  Null ids stay null, repeated rows are
-    counted each.  Extra columns are not read.  No rows give no rows.
+    counted each.  Extra columns are not read.  No rows give no rows.  Without
+    ``table_pass`` the texts are read once and tier 1 is empty; the counts are the same.
     """
     spark = docs.sparkSession
     path = shared_dir(spark)
     packed = read_ranks(vocabulary)
     ranks = spark.sparkContext.broadcast(packed)
-    frequent = spark.sparkContext.broadcast(compact(frequent_table(docs, text_col, packed, path)))
+    frequent = spark.sparkContext.broadcast(compact(frequent_table(docs, text_col, packed, path) if table_pass else {}))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find, lookup = split_pattern().findall, _counts(path, ranks, frequent).__getitem__

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkloom.llm import chat, exact_dedup, minhash, mixing, packing
+from sparkloom.llm import chat, exact_dedup, minhash, mixing, packing, tokens
 from tests.conftest import SF
 from tests.llm.test_dedup import brute_copies
 from tests.llm.test_text import brute_clean
@@ -136,6 +136,23 @@ def test_packing_edges(spark):
     assert packing.pack(df, length=F.lit(None).cast("long")).count() == 0
 
 
+@pytest.mark.parametrize("stage", ["op6", "pipeline"])
+def test_packing_counts_real_tokens(spark, stage):
+    enc = tokens.encoding(tokens.read_ranks())
+    path = tempfile.mkdtemp()
+    extra = [(901, "Été à Orléans, où l'on déjeune.", "fr", "s", 30), (901, "Another text.", "en", "s", 13), (None, "No id.", "en", "s", 6), (902, None, "en", "s", None), (903, "", "en", "s", 0)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150).unionByName(spark.createDataFrame(extra, DOC))
+    docs.write.parquet(f"{path}/documents.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    out = packing.op6_packing(spark, path) if stage == "op6" else corpus_pipeline.pack(spark, docs, path)
+    got, want = Counter(), Counter()
+    for r in out.collect():
+        got[r["doc_id"]] += r["length"]
+    for r in docs.collect():
+        want[r["doc_id"]] += len(enc.encode_ordinary(r["text"] or "")) + packing.END_TOKENS
+    assert got == want
+
+
 # -------------------------------------------------------------------------- chat
 def test_canonical_json():
     assert chat.canonical({"b": 1.0, "a": [None, True, "é\n\"", 1.5], "ä": {"z": 1, "y": float("nan")}}) == '{"a":[null,true,"é\\n\\"",1.5],"b":1,"ä":{"y":null,"z":1}}'
