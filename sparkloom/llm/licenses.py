@@ -1,15 +1,18 @@
 """License scans by conditional compression.
 
-Blocks that mention licensing are compressed with each template as a zstandard raw
-dictionary.  The template that saves most of a block's plain compressed size ranks
-first; it is confirmed by the exact differences in wording: the words of the template
-that the block lacks or adds, aligned in order, and the words that name the license,
-none of which may differ.
+Word windows around mentions of licensing, wide enough for the longest template, are
+searched for each template whose words they hold.  A wording is confirmed by its exact
+differences: the words of the template that it lacks or adds, aligned in order, and the
+words that name the license, none of which may differ.  Wordings that overlap are ranked,
+last by what the template saves, as a zstandard raw dictionary, of the matched words'
+plain compressed size.  Text around a wording has no part in it.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import col, table
 
-#: Share of a template's words that a block has to contain in order, size saved at least, and templates checked for wording, best first.
-COVERAGE, SAVED, CANDIDATES = 0.8, 0.15, 4
+#: Share of a template's words that a wording has to contain in order.
+COVERAGE = 0.8
 LEVEL = 9
 
 
@@ -75,7 +78,7 @@ TEMPLATES = (
     Template("all-rights-reserved", "All rights reserved.", ("all", "rights", "reserved")),
 )
 
-#: Parts of words of the lower-case text, one of which every candidate block contains; single words, so that a line break cannot split them.
+#: Parts of words of the lower-case text, one of which every window contains; single words, so that a line break cannot split them.
 MARKS = ("licens", "licenc", "reserved", "hereby", "redistribut", "unencumbered", "copyright")
 _WORD = re.compile(r"\d+(?:\.\d+)+|\w+")
 
@@ -84,69 +87,119 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def blocks(text: str) -> list[tuple[int, int, str]]:
-    """Candidate blocks (first line, last line, text): lines with a mark, each followed by its paragraph if that has more lines."""
-    out, lines = [], text.split("\n")
-    start = 0
-    for i in range(len(lines) + 1):
-        if i < len(lines) and lines[i].strip():
-            continue
-        part = lines[start:i]
-        hit = [j for j, x in enumerate(part) if any(m in x.lower() for m in MARKS)]
-        out.extend((start + j, start + j, part[j]) for j in hit)
-        if len(part) > 1 and hit:
-            out.append((start, i - 1, " ".join(part)))
-        start = i + 1
-    return out
+def segments(text: str) -> list[tuple[list[str], list[int]]]:
+    """(words, the line of each) of each paragraph."""
+    out: list[tuple[list[str], list[int]]] = [([], [])]
+    for i, line in enumerate(text.split("\n")):
+        if not line.strip():
+            out.append(([], []))
+        w = words(line)
+        out[-1][0].extend(w)
+        out[-1][1].extend([i] * len(w))
+    return [x for x in out if x[0]]
+
+
+def windows(block_words: list[str], reach: int) -> list[tuple[int, int]]:
+    """Ranges of at most ``2 * reach`` words; every run of up to ``reach`` words that has a mark lies whole in one of them."""
+    near: list[list[int]] = []
+    for k, w in enumerate(block_words):
+        if any(m in w for m in MARKS):
+            lo, hi = max(0, k - reach + 1), min(len(block_words), k + reach)
+            if near and lo <= near[-1][1]:
+                near[-1][1] = hi
+            else:
+                near.append([lo, hi])
+    return [(s, min(s + 2 * reach, hi)) for lo, hi in near for s in range(lo, max(hi - reach, lo + 1), reach)]
 
 
 class Matcher:
     def __init__(self, templates: tuple[Template, ...] = TEMPLATES):
         self.templates = templates
         self.words = [words(t.text) for t in templates]
+        self.counts = [Counter(w) for w in self.words]
+        #: Words that a confirmed wording spans at most.
+        self.reach = math.ceil((2 - COVERAGE) * max(map(len, self.words)))
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
         kind = zstandard.DICT_TYPE_RAWCONTENT
         self.given = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=kind), write_content_size=False, write_checksum=False, write_dict_id=False) for w in self.words]
 
-    def rank(self, block_words: list[str]) -> list[tuple[float, int]]:
-        """(share of the plain compressed size saved, template), best first; ties go to the longer template, then the earlier one."""
-        raw = " ".join(block_words).encode("utf-8", "surrogatepass")
+    def saved(self, span_words: list[str], i: int) -> float:
+        """Share of the words' plain compressed size that the template saves."""
+        raw = " ".join(span_words).encode("utf-8", "surrogatepass")
         plain = len(self.plain.compress(raw))
-        saved = [((plain - len(c.compress(raw))) / plain, i) for i, c in enumerate(self.given)]
-        return sorted(saved, key=lambda x: (-x[0], -len(self.words[x[1]]), x[1]))
+        return (plain - len(self.given[i].compress(raw))) / plain
 
-    def confirm(self, block_words: list[str], i: int) -> tuple[int, int] | None:
-        """(template words missing, block words added among the matched ones); None if the wording differs too much."""
+    def possible(self, block_words: list[str]) -> list[int]:
+        """Templates whose names are all there, and enough of whose words; no other can be confirmed."""
+        have = set(block_words)
+        named = [i for i, t in enumerate(self.templates) if have.issuperset(t.names)]
+        count = Counter(block_words) if named else {}
+        return [i for i in named if sum(min(n, count[w]) for w, n in self.counts[i].items()) >= COVERAGE * len(self.words[i])]
+
+    def align(self, block_words: list[str], i: int) -> tuple[int, int, tuple[int, int] | None]:
+        """(first word, end, (template words missing, block words added)) of the stretch with most matched over added words; None for the last if its wording differs too much."""
         want = self.words[i]
         match = [m for m in SequenceMatcher(None, want, block_words, autojunk=False).get_matching_blocks() if m.size]
-        got = sum(m.size for m in match)
-        have = {w for m in match for w in want[m.a : m.a + m.size]}
-        if got < COVERAGE * len(want) or not have.issuperset(self.templates[i].names):
-            return None
-        added = match[-1].b + match[-1].size - match[0].b - got
-        return None if added > len(want) * (1 - COVERAGE) else (len(want) - got, added)
+        score, start, most, keep = 0, 0, 0, []
+        for k, m in enumerate(match):
+            score -= m.b - match[k - 1].b - match[k - 1].size if k else 0
+            if score <= 0:
+                score, start = 0, k
+            score += m.size
+            if score > most:
+                most, keep = score, match[start : k + 1]
+        if not keep:
+            return 0, len(block_words), None
+        first, end = keep[0].b, keep[-1].b + keep[-1].size
+        got = sum(m.size for m in keep)
+        have = {w for m in keep for w in want[m.a : m.a + m.size]}
+        added = end - first - got
+        fits = got >= COVERAGE * len(want) and have.issuperset(self.templates[i].names) and added <= len(want) * (1 - COVERAGE)
+        return first, end, (len(want) - got, added) if fits else None
+
+    def confirm(self, block_words: list[str], i: int) -> tuple[int, int] | None:
+        """(template words missing, block words added among the matched ones); None if the wording differs too much."""
+        return self.align(block_words, i)[2]
+
+    def hits(self, block_words: list[str]) -> list[tuple[int, int, str, float, int, int]]:
+        """(first word, end, license, share saved, words missing, words added) of every confirmed wording that no better one overlaps, best first.
+
+        Better is the one with more matched words over differences, then fewer differences, then the larger share saved.
+        """
+        every = {}
+        for lo, hi in windows(block_words, self.reach):
+            for i in self.possible(block_words[lo:hi]):
+                rest = [(lo, hi)]
+                while rest:  # what lies before and behind a stretch is searched again
+                    a, b = rest.pop()
+                    if i not in self.possible(block_words[a:b]):
+                        continue
+                    first, end, d = self.align(block_words[a:b], i)
+                    if d:
+                        every[(a + first, a + end, i)] = d
+                    rest += [(a, a + first), (a + end, b)]
+        rows = []
+        for (first, end, i), d in every.items():
+            share = self.saved(block_words[first:end], i)
+            rows.append((sum(d) - (len(self.words[i]) - d[0]), sum(d), -share, first, i, end, d))
+        out, taken = [], set()
+        for _, _, share, first, i, end, d in sorted(rows):
+            if taken.isdisjoint(range(first, end)):
+                taken.update(range(first, end))
+                out.append((first, end, self.templates[i].license, round(-share, 4), *d))
+        return out
 
     def best(self, block: str) -> tuple[str, float, int, int] | None:
-        """(license, share saved, words missing, words added) of the confirmed template with the fewest differences, then the best rank."""
-        block_words = words(block)
-        if not block_words:
-            return None
-        hits = []
-        for saved, i in [x for x in self.rank(block_words) if x[0] >= SAVED][:CANDIDATES]:
-            if d := self.confirm(block_words, i):
-                hits.append((d[0] + d[1], -saved, i, saved, d))
-        if not hits:
-            return None
-        _, _, i, saved, d = min(hits)
-        return self.templates[i].license, round(saved, 4), *d
+        """(license, share saved, words missing, words added) of the best confirmed wording."""
+        return next((h[2:] for h in self.hits(words(block))), None)
 
     def scan(self, text: str) -> list[tuple]:
-        """(line, license, share saved, words missing, words added) of a text; a paragraph counts for licenses that none of its lines names by itself."""
-        found: dict[tuple[int, str], tuple] = {}
-        for first, last, block in blocks(text):
-            if (hit := self.best(block)) and not any((i, hit[0]) in found for i in range(first, last + 1)):
-                found[(first, hit[0])] = (first, *hit)
-        return list(found.values())
+        """(line, license, share saved, words missing, words added) of a text; the line is that of the first matched word."""
+        found: dict[int, tuple] = {}
+        for block_words, lines in segments(text):
+            for first, _, *hit in self.hits(block_words):
+                found.setdefault(lines[first], (lines[first], *hit))
+        return [found[k] for k in sorted(found)]
 
 
 _matcher: list[Matcher] = []
@@ -161,11 +214,11 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, line, license, saved, missing_words, added_words)``, one row a confirmed block.
+    """``(doc_id, line, license, saved, missing_words, added_words)``, one row a line and license.
 
-    ``line`` is the block's first line, from 0.  Null and empty texts have none; texts
+    ``line`` is that of the wording's first word, from 0.  Null and empty texts have none; texts
     of any length are read whole.  Null ids stay null; repeated rows are scanned each.
-    Equal savings: see Matcher.rank.  Extra columns are not read.
+    Which of two wordings counts: see Matcher.hits.  Extra columns are not read.
     """
     low = F.lower("text")
     any_mark = F.lit(False)

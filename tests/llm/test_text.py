@@ -147,6 +147,30 @@ def test_licenses_of_the_table(spark):
     assert sorted((r["doc_id"], r["line"], r["license"]) for r in licenses.scan_licenses(df).collect()) == want
 
 
+@pytest.mark.parametrize("n", [0, 100, 600, 4000, 30_000])
+@pytest.mark.parametrize("sides", ["before", "after", "both"])
+def test_licenses_inside_long_lines(n, sides):
+    rng = random.Random(n)
+    names = ["the", "of", "house", "river", "and", "was", "some", "light", "green", "walked", "after", "copy"]
+    prose = lambda: "".join(rng.choice(names) + " " for _ in range(n // 5))
+    m = licenses.Matcher()
+    for t in licenses.TEMPLATES:
+        text = "Title\n" + (prose() if sides != "after" else "") + t.text + " " + (prose() if sides != "before" else "")
+        assert [(h[0], h[1], *h[3:]) for h in m.scan(text)] == [(1, t.license, 0, 0)]
+
+
+def test_license_windows_hold_every_marked_run():
+    rng = random.Random(3)
+    for _ in range(200):
+        w = [rng.choice(["x"] * 30 + ["licensed"]) for _ in range(rng.randrange(1, 150))]
+        reach = rng.randrange(1, 12)
+        got = licenses.windows(w, reach)
+        assert all(b - a <= 2 * reach for a, b in got)
+        for a in range(len(w)):
+            if "licensed" in w[a : a + reach]:
+                assert any(lo <= a and min(a + reach, len(w)) <= hi for lo, hi in got)
+
+
 # ------------------------------------------------------------------------ tokens
 def test_token_counts_match_the_encoder(spark, monkeypatch):
     monkeypatch.setattr(tokens, "SUMMARY", 50)
