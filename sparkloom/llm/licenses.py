@@ -87,16 +87,14 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def segments(text: str) -> list[tuple[list[str], list[int]]]:
-    """(words, the line of each) of each paragraph."""
-    out: list[tuple[list[str], list[int]]] = [([], [])]
+def words_of_lines(text: str) -> tuple[list[str], list[int]]:
+    """Words of a text and the line of each; a wording may go over blank lines, as between clauses."""
+    out, at = [], []
     for i, line in enumerate(text.split("\n")):
-        if not line.strip():
-            out.append(([], []))
         w = words(line)
-        out[-1][0].extend(w)
-        out[-1][1].extend([i] * len(w))
-    return [x for x in out if x[0]]
+        out.extend(w)
+        at.extend([i] * len(w))
+    return out, at
 
 
 def windows(block_words: list[str], reach: int) -> list[tuple[int, int]]:
@@ -196,9 +194,9 @@ class Matcher:
     def scan(self, text: str) -> list[tuple]:
         """(line, license, share saved, words missing, words added) of a text; the line is that of the first matched word."""
         found: dict[int, tuple] = {}
-        for block_words, lines in segments(text):
-            for first, _, *hit in self.hits(block_words):
-                found.setdefault(lines[first], (lines[first], *hit))
+        text_words, lines = words_of_lines(text)
+        for first, _, *hit in self.hits(text_words):
+            found.setdefault(lines[first], (lines[first], *hit))
         return [found[k] for k in sorted(found)]
 
 

@@ -159,6 +159,16 @@ def test_licenses_inside_long_lines(n, sides):
         assert [(h[0], h[1], *h[3:]) for h in m.scan(text)] == [(1, t.license, 0, 0)]
 
 
+def test_bsd_clauses_between_blank_lines():
+    two, three = (next(t.text for t in licenses.TEMPLATES if t.license == f"BSD-{n}-Clause") for n in (2, 3))
+    head, source, binary = two.partition(" Redistributions of")[0], "Redistributions of" + two.split("Redistributions of")[1].split(" Redistributions in")[0], "Redistributions in" + two.split("Redistributions in")[1]
+    third = three[len(two) :].strip()
+    m = licenses.Matcher()
+    text = f"Copyright (c) 2001 A. Author\n\n{head}\n\n1. {source}\n\n2. {binary}"
+    assert [h[:2] for h in m.scan(text)] == [(2, "BSD-2-Clause")]
+    assert [h[:2] for h in m.scan(text + f"\n\n3. {third}\n\nAnd prose after it.")] == [(2, "BSD-3-Clause")]
+
+
 def test_license_windows_hold_every_marked_run():
     rng = random.Random(3)
     for _ in range(200):
