@@ -193,10 +193,10 @@ class Matcher:
 
     def scan(self, text: str) -> list[tuple]:
         """(line, license, share saved, words missing, words added) of a text; the line is that of the first matched word."""
-        found: dict[int, tuple] = {}
+        found: dict[tuple[int, str], tuple] = {}
         text_words, lines = words_of_lines(text)
         for first, _, *hit in self.hits(text_words):
-            found.setdefault(lines[first], (lines[first], *hit))
+            found.setdefault((lines[first], hit[0]), (lines[first], *hit))
         return [found[k] for k in sorted(found)]
 
 

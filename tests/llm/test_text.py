@@ -169,6 +169,16 @@ def test_bsd_clauses_between_blank_lines():
     assert [h[:2] for h in m.scan(text + f"\n\n3. {third}\n\nAnd prose after it.")] == [(2, "BSD-3-Clause")]
 
 
+def test_every_license_of_a_line():
+    m = licenses.Matcher()
+    for a in licenses.TEMPLATES:
+        for b in licenses.TEMPLATES:
+            text = f"See here. {a.text} {b.text}"
+            assert {h[:2] for h in m.scan(text)} == {(0, a.license), (0, b.license)}, (a, b)
+    wrapped = "Released under\nthe MIT License. Licensed under the\nApache License, Version 2.0."
+    assert [h[:2] for h in m.scan(wrapped)] == [(0, "MIT"), (1, "Apache-2.0")]
+
+
 def test_license_windows_hold_every_marked_run():
     rng = random.Random(3)
     for _ in range(200):
