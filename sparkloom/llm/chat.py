@@ -222,7 +222,9 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ``reply`` with the identifier ``conversation-turn``; the call needs the one of the
     user turn before it, and the next assistant turn is its result.  A turn's
     identifier is computed from its own neighbours, so both sides are made apart and
-    joined by identifier.  System turns, and turns of any other role, are messages.
+    joined by identifier.  Assistant turns that are no call's result (before any user
+    turn, or behind the first one after it) are messages, as are system turns and
+    turns of any other role.
     """
     from pyspark.sql import Window as W
 
@@ -235,8 +237,11 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     args = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("pos").alias("turn"), F.col("sys").alias("system")))
     needs = F.when(F.col("prev").isNotNull(), F.array(name(F.col("prev")))).otherwise(F.array().cast("array<string>"))
     calls = t.where("role = 'user'").select("conv_id", "pos", name(F.col("pos")).alias("call_id"), F.lit("reply").alias("tool"), args.alias("args"), needs.alias("needs"))
-    results = t.where("role = 'assistant'").select("conv_id", "pos", name(F.col("prev")).alias("call_id"), "text")
-    messages = t.where("role IS NULL OR role NOT IN ('user', 'assistant')").select("conv_id", "pos", "role", "text")
+    # the order is that in which format_chats takes the first of several results
+    nth = F.row_number().over(W.partitionBy("conv_id", "prev", F.col("role") == "assistant").orderBy("pos", "text"))
+    t = t.withColumn("is_result", F.coalesce((F.col("role") == "assistant") & F.col("prev").isNotNull() & (nth == 1), F.lit(False)))
+    results = t.where("is_result").select("conv_id", "pos", name(F.col("prev")).alias("call_id"), "text")
+    messages = t.where("NOT is_result AND (role IS NULL OR role <> 'user')").select("conv_id", "pos", "role", "text")
     return messages, calls, results
 
 

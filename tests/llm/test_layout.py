@@ -211,6 +211,15 @@ def test_chats_from_json_messages(spark):
     assert json.loads(out[2]["chat"])["messages"] == [{"content": None, "role": "assistant"}]
 
 
+def test_no_assistant_turn_is_lost(spark):
+    rows = [(1, 0, "assistant", "Welcome."), (1, 1, "user", "Hi"), (1, 2, "assistant", "First"), (1, 3, "assistant", "and more"), (1, 4, "user", "Bye"), (1, 5, "assistant", "Same"), (1, 5, "assistant", "Same"), (2, 0, "assistant", "Alone."), (2, 1, "assistant", None), (None, 0, "assistant", "No id."), (None, 1, "user", "Q"), (None, 2, "assistant", "A"), (3, None, "user", "no turn"), (3, 1, "assistant", "late")]
+    out = {r["conv_id"]: r for r in chat.format_chats(*chat.from_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), chat.SCHEMAS).collect()}
+    said = {k: json.loads(r["chat"]) for k, r in out.items()}
+    assert {k: [c.get("result") for c in v["calls"]] for k, v in said.items()} == {1: ["First", "Same"], 2: [], None: ["A"], 3: [None]}
+    assert {k: [m["content"] for m in v["messages"]] for k, v in said.items()} == {1: ["Welcome.", "and more", "Same"], 2: ["Alone.", None], None: ["No id."], 3: ["late"]}
+    assert all(m["role"] == "assistant" for v in said.values() for m in v["messages"])
+
+
 def test_chats_of_the_table(spark):
     df = spark.read.parquet(f"{SF}/conversations.parquet")
     turns = defaultdict(list)
