@@ -9,6 +9,7 @@ serialised as canonical JSON (keys sorted by code point, no spaces, shortest num
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import math
 import re
@@ -137,12 +138,26 @@ def arguments(text: str | None, schema: dict | None) -> tuple[object, list[str]]
     return value, violations(value, schema)
 
 
-def conversation(rows: list, schemas: dict) -> tuple[str, int, int, int, int]:
-    """(JSON, calls, calls without result, invalid calls, calls on a cycle) of one conversation's linked items.
+def in_order(messages: list[tuple], calls: list[tuple]) -> list:
+    """Values of messages (position, value) and calls (position, rank, value) as one list.
+
+    Messages stand at their position, before calls of the same one; a run of calls with
+    no message between them stands where its first is, by rank.  No position comes last.
+    """
+    at = lambda p: (p is None, p or 0)
+    rows = [(*at(p), 0, 0, v) for p, v in messages] + [(*at(p), 1, k, v) for p, k, v in calls]
+    out = []
+    for is_call, run in itertools.groupby(sorted(rows, key=lambda r: r[:4]), key=lambda r: r[2]):
+        out.extend(r[4] for r in (sorted(run, key=lambda r: r[3]) if is_call else run))
+    return out
+
+
+def conversation(rows: list, schemas: dict) -> tuple[str, str, int, int, int, int]:
+    """(JSON by kind, JSON in order, calls, calls without result, invalid calls, calls on a cycle) of one conversation's linked items.
 
     Items are (kind, position, role, text, call id, tool, arguments, needs, result
-    position, result): messages at their position, calls from the place of the first of
-    their run of neighbouring calls, in topological order.
+    position, result).  The first JSON has all calls in topological order and all
+    messages by position; the second is one list of both, see in_order.
     """
     rows = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0], r[4] or "", r[3] or "", r[6] or "", r[8] if r[8] is not None else -1, r[9] or ""))
     messages, calls = [r for r in rows if r[0] == "message"], [r for r in rows if r[0] == "call"]
@@ -152,9 +167,9 @@ def conversation(rows: list, schemas: dict) -> tuple[str, int, int, int, int]:
             seen.add(r[4])
             unique.append(r)
     seq, cyclic = order([r[4] or "" for r in unique], [r[1] if r[1] is not None else 2**31 - 1 for r in unique], [r[7] for r in unique])
-    items = [{"role": r[2], "content": r[3]} for r in messages]
+    said = [(r[1], {"role": r[2], "content": r[3]}) for r in messages]
     open_, invalid, done = 0, 0, []
-    for i in seq:
+    for k, i in enumerate(seq):
         r = unique[i]
         value, wrong = arguments(r[6], schemas.get(r[5]))
         call = {"arguments": value, "id": r[4], "name": r[5], "valid": not wrong}
@@ -167,8 +182,10 @@ def conversation(rows: list, schemas: dict) -> tuple[str, int, int, int, int]:
             call["result"] = r[9]
         if i in cyclic:
             call["cyclic"] = True
-        done.append(call)
-    return canonical({"calls": done, "messages": items}), len(unique), open_, invalid, len(cyclic)
+        result_at = {} if r[8] is None else {"result_at": None if r[8] == -1 else r[8]}
+        done.append((r[1], k, call, {"at": r[1]} | result_at | call))
+    items = in_order([(p, {"at": p} | m) for p, m in said], [(p, k, x) for p, k, _, x in done])
+    return canonical({"calls": [c for _, _, c, _ in done], "messages": [m for _, m in said]}), canonical(items), len(unique), open_, invalid, len(cyclic)
 
 
 _TEXT = ("kind", "role", "text", "call_id", "tool", "args", "result")
@@ -181,7 +198,12 @@ _ITEM = T.StructType(
 
 
 def format_chats(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
-    """``(conv_id, chat, n_calls, n_open, n_invalid, n_cyclic)``, one row a conversation.
+    """``(conv_id, chat, n_calls, n_open, n_invalid, n_cyclic, items)``, one row a conversation.
+
+    ``items`` is the conversation as one ordered JSON list: messages at their position,
+    each run of calls at the place of its first, in topological order within the run.
+    Each has its position as ``at``, a call that of its result as ``result_at``.  ``chat``
+    has the same objects apart and without positions, as ``{"calls": [...], "messages": [...]}``.
 
     ``messages`` has (conv_id, pos, role, text), ``calls`` (conv_id, pos, call_id, tool,
     args, needs), ``results`` (conv_id, pos, call_id, text).  A call without a result is
@@ -208,11 +230,13 @@ def format_chats(messages: DataFrame, calls: DataFrame, results: DataFrame, sche
         names = _ITEM.names
         for pdf in batches:
             out = [conversation([tuple(list(x[n]) if n == "needs" and x[n] is not None else x[n] for n in names) for x in items], schemas) for items in pdf["items"]]
-            yield pd.concat([pdf[["conv_id"]], pd.DataFrame(out, columns=["chat", "n_calls", "n_open", "n_invalid", "n_cyclic"], index=pdf.index)], axis=1)
+            made = pd.DataFrame(out, columns=["chat", "items", "n_calls", "n_open", "n_invalid", "n_cyclic"], index=pdf.index)
+            made["items"] = made.pop("items")  # the last column
+            yield pd.concat([pdf[["conv_id"]], made], axis=1)
 
     kind = messages.schema["conv_id"].dataType.simpleString()
     whole = rows.groupBy("conv_id").agg(F.collect_list("item").alias("items"))
-    return whole.mapInPandas(write, f"conv_id {kind}, chat string, n_calls int, n_open int, n_invalid int, n_cyclic int")
+    return whole.mapInPandas(write, f"conv_id {kind}, chat string, n_calls int, n_open int, n_invalid int, n_cyclic int, items string")
 
 
 def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

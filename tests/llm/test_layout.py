@@ -220,6 +220,22 @@ def test_no_assistant_turn_is_lost(spark):
     assert all(m["role"] == "assistant" for v in said.values() for m in v["messages"])
 
 
+def test_items_keep_the_order_of_messages_and_calls(spark):
+    call = lambda text, *ids: json.dumps({"content": text, "tool_calls": [{"id": i, "name": "add", "arguments": {}, "needs": ["a"] if i == "b" else []} for i in ids]})
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", call("looking", "b", "a")), (1, 2, "tool", '{"tool_call_id": "a", "content": "one"}'), (1, 3, "assistant", "so"), (1, 4, "user", "again"), (1, 5, "assistant", call(None, "c")), (1, 6, "assistant", "done")]
+    turns = [(1, 0, "system", "s"), (1, 1, "user", "q1"), (1, 2, "assistant", "r1"), (1, 3, "system", "mid"), (1, 4, "user", "q2"), (1, 5, "assistant", "r2"), (1, 6, "assistant", "r3")]
+    name = lambda x: x.get("content") if "role" in x else (x["id"], x.get("result"))
+    want = [["hi", "looking", ("a", "one"), ("b", None), "so", "again", ("c", None), "done"], ["s", ("1-1", "r1"), "mid", ("1-4", "r2"), "r3"]]
+    for made, data, order in ((chat.from_messages, rows, want[0]), (chat.from_turns, turns, want[1])):
+        out = chat.format_chats(*made(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")), {"add": {"type": "object"}} | chat.SCHEMAS).first()
+        items, apart = json.loads(out["items"]), json.loads(out["chat"])
+        assert [name(x) for x in items] == order and out["items"] == chat.canonical(items) and out["chat"] == chat.canonical(apart)
+        assert [{k: v for k, v in x.items() if k != "at"} for x in items if "role" in x] == apart["messages"] and len(items) == len(apart["messages"]) + len(apart["calls"])
+        place = {t[1]: t for t in data}
+        assert all(place[x["at"]][2] == x["role"] for x in items if "role" in x)
+        assert all((x["result"] in place[x["result_at"]][3]) if "result" in x else "result_at" not in x for x in items if "role" not in x)
+
+
 def test_chats_of_the_table(spark):
     df = spark.read.parquet(f"{SF}/conversations.parquet")
     turns = defaultdict(list)
