@@ -77,6 +77,11 @@ def _entropy(s: str) -> bool:
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) >= 3.0
 
 
+def _mixed(s: str) -> bool:
+    """``_entropy``, and two of lower case, upper case and digits: rules out names in code, as nothing else marks where an unquoted value is text."""
+    return _entropy(s) and any(map(str.isalpha, s)) and sum((any(map(str.islower, s)), any(map(str.isupper, s)), any(map(str.isdigit, s)))) >= 2
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -90,6 +95,10 @@ class Rule:
 
 
 _NAMED = r"""(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key)["']?\s{0,3}(?::=|=>|=|:)\s{0,3}"""
+#: Keywords of _NAMED as hits.
+_KEYS = ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "access-key", "accesskey", "auth_key", "auth-key", "authkey", "private_key", "private-key", "privatekey")
+#: A character of an unquoted value.  Without separators no value holds the start of another, so the time stays linear.
+_BARE = r"""[^\s"'`=:;,.?<>(){}\[\]|&\\]"""
 RULES = (
     Rule("code_host_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"(gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])", _crc_tail, "checksum"),
     Rule("package_token", ("npm_",), r"(npm_[A-Za-z0-9]{36})(?![A-Za-z0-9])", _crc_tail, "checksum"),
@@ -100,8 +109,10 @@ RULES = (
     Rule("chat_token", ("xox",), r"(xox[abprs]-[A-Za-z0-9-]{20,})", _entropy),
     Rule("payment_key", ("sk_live_", "rk_live_"), r"([sr]k_live_[A-Za-z0-9]{20,})", _entropy),
     Rule("map_key", ("aiza",), r"(AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9_-])", _entropy),
-    Rule("named_secret", ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "access-key", "auth_key", "private_key"), _NAMED + r"""["']([A-Za-z0-9+/_.=~-]{16,512})["']""", _entropy, "entropy", re.I),
-    Rule("named_hex", ("token", "secret", "api_key", "api-key", "apikey", "access_key", "access-key", "auth_key", "private_key"), _NAMED + r"([0-9a-f]{32,128})(?![0-9A-Za-z])", _entropy, "entropy", re.I),
+    Rule("named_secret", ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "access-key", "auth_key", "private_key"), _NAMED + r"""["']([A-Za-z0-9+/_.=~-]{16,})["']""", _entropy, "entropy", re.I),
+    Rule("named_hex", ("token", "secret", "api_key", "api-key", "apikey", "access_key", "access-key", "auth_key", "private_key"), _NAMED + r"([0-9a-f]{32,})(?![0-9A-Za-z])", _entropy, "entropy", re.I),
+    Rule("named_quoted", _KEYS, _NAMED + r"""(?:"(?=[^"\s]{16,}")|'(?=[^'\s]{16,}'))((?<=")[^"\s]+|(?<=')[^'\s]+)""", _entropy, "entropy", re.I),
+    Rule("named_bare", _KEYS, _NAMED + rf"((?>(?:{_BARE}|[.?](?={_BARE})){{16,}}={{0,2}}))(?![(\[{{=:])", _mixed, "entropy", re.I),
 )
 
 

@@ -104,6 +104,21 @@ def test_secrets_match_brute_force_and_validate(spark):
     assert not any(good["package_token"][8:] in str(r) for r in out)
 
 
+def test_secrets_of_any_length_unquoted_and_with_symbols():
+    rng = random.Random(5)
+    some = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    b64, hexes = secrets._B62 + "+/", "0123456789abcdef"
+    long, hex_, aws = some(5000, secrets._B62), some(4096, hexes), some(38, b64) + "aB"
+    cases = {f'token = "{long}"': long, f"api_key={hex_}": hex_, f"AWS_SECRET_ACCESS_KEY={aws}": aws, "DB_PASSWORD=h7Kq2Lw9Zx4Vb8Nm": "h7Kq2Lw9Zx4Vb8Nm", 'password: "p@55 w"': None, 'password: "p@55;w0rd!{x}#9(Zq)"': "p@55;w0rd!{x}#9(Zq)", "passwd = 'a\"b$c%d^e&f*g(h)1'": "a\"b$c%d^e&f*g(h)1", "Password: Tr0ub4dor&3": None, "DB_PASSWORD=Xy#9!kQ$7@mZ%2^wLp.": "Xy#9!kQ$7@mZ%2^wLp", "secret=" + aws + "==": aws + "=="}
+    cases |= {"token = get_access_token_from_env": None, "token = readAccessToken2FromEnv(": None, "password = aaaaaaaaaaaaaaaaaaaa": None, "secret: the first of all words": None}
+    scanner = secrets.Scanner()
+    for text, want in cases.items():
+        for whole in (text, f"before\n{text}\nafter"):
+            assert [(s, whole[a:b]) for _, a, b, s, _ in scanner.scan(whole)] == ([(want, want)] if want else []), text
+            assert len(whole) > 1000 or scanner.scan(whole) == brute_scan(whole)
+    scanner.scan("token=" * 50_000 + "token='" * 50_000 + 'token="' * 50_000)  # linear
+
+
 def test_secrets_of_the_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = {r[0] for r in df.where(F.col("text").rlike('token = "[0-9a-f]{40}"')).select("doc_id").collect()}
