@@ -35,7 +35,9 @@ SEED = 20240917
 #: Bucket members that one Python call verifies on average; a bucket is never split.
 CELL_MEMBERS = 50_000
 
-_WORD = re.compile(r"\w+")
+#: Thai, Lao, Tibetan, Burmese, Khmer, kana and Han: written without spaces, so each character is a word.
+_UNSPACED = r"\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[^\W{_UNSPACED}]+|[{_UNSPACED}]")
 _CACHE_WORDS = 60_000
 _CHUNK = 1 << 15
 _SLICE = 512

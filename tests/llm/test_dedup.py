@@ -216,3 +216,15 @@ def test_near_dedup_survives_small_cells(spark, monkeypatch):
     small = {tuple(r) for r in minhash.near_groups(df).collect()}
     monkeypatch.undo()
     assert small == {tuple(r) for r in minhash.near_groups(df).collect()}
+
+
+def test_near_copies_in_scripts_without_spaces():
+    rng = random.Random(12)
+    for first, last in (("\u4e00", "\u9000"), ("\u0e01", "\u0e2e"), ("\u3041", "\u3090")):
+        some = lambda n: [chr(rng.randrange(ord(first), ord(last))) for _ in range(n)]  # noqa: E731, B023
+        text = some(1000)
+        for k in range(20, 1000, 25):
+            text[k] = "。"
+        near = [rng.choice(some(9)) if rng.random() < 0.02 else c for c in text]
+        a, b, c = (set(minhash.shingles("".join(x)).tolist()) for x in (text, near, some(1000)))
+        assert len(a & b) / len(a | b) > 0.7 and len(a & c) / len(a | c) < 0.1
