@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, table
+from .common import col, fresh, table
 
 #: Share of a text's visible characters that may be lost.
 MAX_LOSS = 0.5
@@ -78,10 +78,11 @@ def clean_lines(docs: DataFrame, text_col: str = "text", max_loss: float = MAX_L
     judged = F.transform(counted, lambda d: F.struct(d["c"].alias("c"), d["had"].alias("had"), F.coalesce(d["kept"], d["had"]).alias("kept")))
     passed = F.filter(judged, lambda d: (d["kept"] > 0) & (d["kept"] >= F.lit(1 - max_loss) * d["had"]))
     names = [c for c in docs.columns if c.lower() != "kept_share"]
-    out = docs.where(col(text_col).isNotNull()).select(*[col(c) for c in names if c != text_col], F.explode(passed).alias("__p"))
-    length = F.length(F.col("__p.c"))
-    given = {text_col: F.col("__p.c")} | {c: length.cast(docs.schema[c].dataType) for c in names if c.lower() == "n_chars" and c != text_col}
-    return out.select(*[given.get(c, col(c)).alias(c) for c in names], F.round(F.col("__p.kept") / F.col("__p.had"), 6).alias("kept_share"))
+    p = fresh(docs, "passed")
+    out = docs.where(col(text_col).isNotNull()).select(*[col(c) for c in names if c != text_col], F.explode(passed).alias(p))
+    got = lambda f: F.col(f"{p}.{f}")
+    given = {text_col: got("c")} | {c: F.length(got("c")).cast(docs.schema[c].dataType) for c in names if c.lower() == "n_chars" and c != text_col}
+    return out.select(*[given.get(c, col(c)).alias(c) for c in names], F.round(got("kept") / got("had"), 6).alias("kept_share"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
