@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import col, shared_dir, small_side, table, written
+from .common import Sealed, shared_dir, small_side, table, written
 
 #: Rows of the sample per 100 rows of the input.
 PERCENT = 100
@@ -67,13 +67,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     A null source is a source of its own; a null size counts as the least size; null
     ids draw one number as if they were one id.  Equal ranks go by id, nulls last;
     rows that tie in id and source are interchangeable, and just as many of them are
-    taken as there are places.  Texts are not looked at.  An input column called
-    ``copy`` is replaced.  No rows, or no weight above 0, give no rows.
+    taken as there are places.  Texts are not looked at.  Other columns, whatever their
+    names, stay; one called ``copy`` is replaced.  No rows, or no weight above 0, give no rows.
     """
-    spark = docs.sparkSession
-    path = shared_dir(spark)
-    has_size = size_col in docs.columns
-    unit = docs.select(col(id_col).alias("id"), col(source_col).alias("src"), _size(col(size_col) if has_size else F.lit(1)).alias("x"))
+    path = shared_dir(docs.sparkSession)
+    sealed = Sealed(docs)
+    key, source = sealed.col(id_col), sealed.col(source_col)
+    size = _size(sealed.col(size_col) if size_col in sealed else F.lit(1))
+    unit = sealed.df.select(key.alias("id"), source.alias("src"), size.alias("x"))
     counts = written(unit.groupBy("src").agg(F.count("*").alias("rows"), F.sum("x").alias("size")), f"{path}/counts")
     plan = written(allocate(counts, weights, percent, temperature), f"{path}/plan")
     sources = plan.count()
@@ -91,7 +92,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     keyed = unit.select(F.col("id").alias("__i"), F.col("src").alias("__s"), F.col("x").alias("__x"))
     cut = _cuts(ranked(keyed), path)
     cuts = small_side(cut, sources)
-    rows = docs.withColumns({"__i": col(id_col), "__s": col(source_col), "__x": _size(col(size_col) if has_size else F.lit(1))})
+    rows = sealed.df.withColumns({"__i": key, "__s": source, "__x": size})
     rows = ranked(rows).join(cuts, F.col("__src").eqNullSafe(F.col("__c")), "left")
     before = (F.col("__q") < F.col("cut_q")) | ((F.col("__q") == F.col("cut_q")) & _before("__i", "cut_i"))
     at = (F.col("__q") == F.col("cut_q")) & F.col("__i").eqNullSafe(F.col("cut_i"))
@@ -104,8 +105,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
         some = some.withColumn("__n", F.col("__n") + F.when(F.col("__r") <= F.col("take"), 1).otherwise(0)).drop("__r")
         out = out.where(~tie).unionByName(some)
     out = out.where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0), (F.col("__n") - 1).cast("int"))))
-    names = [c for c in docs.columns if c.lower() != "copy"]
-    return out.select(*[col(c) for c in names], F.col("__copy").alias("copy"))
+    return sealed.open(out, F.col("__copy").alias("copy"), drop="copy")
 
 
 def _before(a: str, b: str) -> Column:
