@@ -17,8 +17,8 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import col, shared_dir, small_batches, table, written
@@ -26,16 +26,12 @@ from .tokens import count_tokens
 
 #: Window sizes in tokens, shortest first.
 TIERS = (512, 2048, 8192)
-#: Characters of a token, where pack() is given neither counts nor a vocabulary, and tokens added to each document as its end mark.
-CHARS_PER_TOKEN, END_TOKENS = 4, 1
+#: Tokens added to each document as its end mark.
+END_TOKENS = 1
 #: Documents of a cell on average, and windows of a step group.
 CELL_DOCS, GROUP_WINDOWS = 8192, 16
 
-SCHEMA = "doc_id long, piece int, start long, length long, tier int, cell int, window_no int, offset long, step_group int"
-
-
-def token_length(chars: Column) -> Column:
-    return F.ceil(chars / CHARS_PER_TOKEN).cast("long") + END_TOKENS
+SCHEMA = "doc_id {}, piece int, start long, length long, tier int, cell int, window_no int, offset long, step_group int"
 
 
 def pack_cell(lengths: list[int], tiers: tuple[int, ...] = TIERS, group_windows: int = GROUP_WINDOWS) -> list[tuple]:
@@ -97,39 +93,40 @@ def pack_cell(lengths: list[int], tiers: tuple[int, ...] = TIERS, group_windows:
     return [(*r[:4], tiers[r[4]], r[5], r[6], of[r[5]]) for r in rows]
 
 
-def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["id", "length"], kind="stable")
-    cell = int(pdf["cell"].iloc[0])
-    rows = pack_cell(pdf["length"].tolist())
-    out = pd.DataFrame(rows, columns=["i", "piece", "start", "length", "tier", "window_no", "offset", "step_group"])
-    out["doc_id"] = pdf["id"].astype("Int64").take(out.pop("i").to_numpy()).array if len(out) else pd.array([], "Int64")
-    out["cell"] = cell
-    return out[[c.split()[0] for c in SCHEMA.split(", ")]]
+def _pack(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by([("id", "ascending"), ("length", "ascending")])  # nulls last
+    packed = pack_cell(rows.column("length").to_pylist())
+    i, piece, start, length, tier, window, offset, group = map(list, zip(*packed))
+    made = [pa.array(x, t) for x, t in ((piece, pa.int32()), (start, pa.int64()), (length, pa.int64()), (tier, pa.int32()), ([rows.column("cell")[0].as_py()] * len(i), pa.int32()), (window, pa.int32()), (offset, pa.int64()), (group, pa.int32()))]
+    return pa.Table.from_arrays([rows.column("id").take(pa.array(i)), *made], [c.split()[0] for c in SCHEMA.split(", ")])
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None, text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, length: Column, id_col: str = "doc_id") -> DataFrame:
     """One row a piece: its document, token range, tier, window (``cell``, ``window_no``), offset there and step group.
 
-    ``length`` is the token count, by default estimated from the text's characters.
-    The pieces of a document cover it once, without gaps; no window holds more than
-    its tier.  A null text counts as empty; an empty text is its end mark alone.  A
-    length of 0 or less, or null, gives no piece.  Rows that repeat an id are packed
-    each, null ids too.  Ties go by id, then length.  Extra columns are not read.  No rows
-    give no rows.
+    ``length`` is the token count.  The pieces of a document cover it once, without
+    gaps; no window holds more than its tier.  A length of 0 or less, or null, gives no
+    piece.  Ids of any type that sorts pass through as they are.  Rows that repeat an id
+    are packed each, null ids too.  Ties go by id, nulls last, then length.  Extra columns
+    are not read.  No rows give no rows.
     """
-    n = F.coalesce(length, F.lit(0)) if length is not None else token_length(F.coalesce(F.length(col(text_col).cast("string")), F.lit(0)))
-    rows = docs.select(col(id_col).cast("long").alias("id"), n.cast("long").alias("length")).where("length > 0")
+    rows = docs.select(col(id_col).alias("id"), F.coalesce(length, F.lit(0)).cast("long").alias("length")).where("length > 0")
+    # rows alike in id and length are interchangeable: numbered, so that however many there are (null ids, say) they make no hot cell
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("id", "length").orderBy(F.lit(1))))
     rows = written(rows, f"{shared_dir(docs.sparkSession)}/lengths")
     cells = max(1, -(-rows.count() // CELL_DOCS))
-    # null ids and repeated ids are spread by their lengths, so that no id makes a hot cell
-    return rows.withColumn("cell", F.pmod(F.xxhash64("id", "length"), F.lit(cells)).cast("int")).groupBy("cell").applyInPandas(_pack, SCHEMA)
+    cell = F.pmod(F.xxhash64("id", "length", F.expr(f"nth div {CELL_DOCS}")), F.lit(cells)).cast("int")
+    return rows.select("id", "length", cell.alias("cell")).groupBy("cell").applyInArrow(_pack, SCHEMA.format(rows.schema["id"].dataType.simpleString()))
 
 
 def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``pack`` by the texts' own token counts (tokens.count_tokens, one count a row) and an end mark each."""
+    """``pack`` by the texts' own token counts (tokens.count_tokens, one count a row) and an end mark each.
+
+    A null text counts as empty; an empty text is its end mark alone.
+    """
     with small_batches(docs.sparkSession):  # pack() writes the counts before it returns
-        counts = count_tokens(docs, id_col, text_col, table_pass=False)
-        return pack(counts, length=F.coalesce("n_tokens", F.lit(0)) + END_TOKENS)
+        counts = count_tokens(docs, id_col, text_col)
+        return pack(counts, F.coalesce("n_tokens", F.lit(0)) + END_TOKENS)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
