@@ -218,6 +218,47 @@ def test_near_dedup_survives_small_cells(spark, monkeypatch):
     assert small == {tuple(r) for r in minhash.near_groups(df).collect()}
 
 
+def test_large_buckets_are_split_without_loss(spark, monkeypatch):
+    """Documents that share one bucket: chains, stars and strangers; split into blocks they are connected as by comparing all pairs."""
+    rng = np.random.default_rng(4)
+    sigs = rng.integers(0, 256, (400, minhash.K), dtype=np.uint8)
+    for i in range(1, 400):  # each like one before it, or like none
+        if rng.random() < 0.7:
+            of = rng.integers(max(0, i - 60), i)
+            change = rng.choice(minhash.K, rng.integers(10, 75), replace=False)
+            sigs[i] = sigs[of]
+            sigs[i, change] = rng.integers(0, 256, len(change))
+    order = rng.permutation(400)
+    near = [(int(order[i]), int(order[j])) for i in range(400) for j in range(i) if minhash.estimate(sigs[i], sigs[j : j + 1])[0] >= minhash.ACCEPT]
+    want = union_find(near)
+    rep = spark.createDataFrame([(int(order[i]), bytearray(sigs[i].tobytes())) for i in range(400)], "node long, sig binary")
+    for block in (7, 50, 150, 1000):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        chunks = -(-400 // block)
+        sets = [(5, 6, c, chunks, [n for n in range(400) if n % chunks == c]) for c in range(chunks)] + [(8, 8, 0, 1, [1, 2])]
+        found = minhash._large(spark.createDataFrame(sets, "b1 long, b2 long, chunk int, chunks int, nodes array<long>"), rep, shared_dir(spark))
+        assert (found is None) == (chunks == 1)
+        if found:
+            pairs = [tuple(r) for r in found.collect()]
+            assert all(u > v for u, v in pairs) and union_find(pairs) == want
+
+
+def test_small_blocks_give_the_same_groups(spark, monkeypatch):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = Counter(tuple(r) for r in minhash.near_groups(df).collect())
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    assert Counter(tuple(r) for r in minhash.near_groups(df).collect()) == whole
+
+
+def test_near_copies_that_repeat_an_id(spark):
+    rng = random.Random(6)
+    a, b, c = (" ".join(words(rng, 100)) for _ in range(3))
+    rows = [(0, a), (1, a + " more"), (1, b), (1, c), (2, c + " tail"), (3, b), (3, b), (4, "alone twice"), (4, "alone twice")]
+    df = spark.createDataFrame(rows, DOC)
+    assert Counter(tuple(r) for r in minhash.near_groups(df).collect()) == Counter([(0, 0, True), (1, 0, False), (1, 1, True), (2, 1, False), (1, 1, True), (3, 1, False), (3, 1, False), (4, 4, True), (4, 4, False)])
+    assert Counter(tuple(r) for r in minhash.drop_near_copies(df).collect()) == Counter([(0, a), (1, b), (1, c), (4, "alone twice")])
+
+
 def test_near_copies_in_scripts_without_spaces():
     rng = random.Random(12)
     for first, last in (("\u4e00", "\u9000"), ("\u0e01", "\u0e2e"), ("\u3041", "\u3090")):

@@ -105,7 +105,7 @@ def test_packing_invariants(spark, monkeypatch):
     rng = random.Random(10)
     lengths = {i: rng.choice([1, 7, 100, 511, 512, 513, 2048, 3000, 8192, 8193, 40_000, rng.randrange(1, 9000)]) for i in range(900)}
     df = spark.createDataFrame(list(lengths.items()), "doc_id long, n long").withColumn("tier", F.lit("clash"))
-    rows = packing.pack(df, length=F.col("n")).collect()
+    rows = packing.pack(df, F.col("n")).collect()
     windows, tiers, groups = check_packing(rows, lengths)
     filled = sum(lengths.values()) / sum(tiers.values())
     assert filled > 0.93
@@ -127,13 +127,73 @@ def test_gaps_take_shorter_documents_first_and_groups_balance():
     assert max(tokens.values()) - min(tokens.values()) < 8192 and max(count.values()) - min(count.values()) <= 1
 
 
+def brute_pack(lengths, tiers, per_group):
+    """The rules of the packer one by one, with a search over all windows for each piece: (index, start, length, tier, window, offset), window -> group."""
+    pieces = defaultdict(list)
+    for i, n in enumerate(lengths):
+        for start in range(0, n, tiers[-1]):
+            m = min(n - start, tiers[-1])
+            pieces[min(t for t in tiers if t >= m)].append((-m, i, start))
+    rows, used, tier_of = [], {}, {}
+    for t in sorted(tiers, reverse=True):
+        for source in sorted((x for x in tiers if x <= t), reverse=True):
+            left = []
+            for m, i, start in sorted(pieces[source]):
+                fits = [(t - used[w], w) for w in used if tier_of[w] == t and 0 < t - used[w] >= -m]
+                if not fits and source == t:
+                    w = len(used)
+                    used[w], tier_of[w] = 0, t
+                    fits = [(t, w)]
+                if fits:
+                    w = min(fits)[1]
+                    rows.append((i, start, -m, t, w, used[w]))
+                    used[w] -= m
+                else:
+                    left.append((m, i, start))
+            pieces[source] = left
+    groups, base = {}, 0
+    for t in sorted(tiers, reverse=True):
+        windows = sorted((w for w in used if tier_of[w] == t), key=lambda w: (-used[w], w))
+        n = math.ceil(len(windows) / per_group)
+        load = [0] * n
+        for lo in range(0, len(windows), max(n, 1)):
+            free = set(range(n))  # each group gets one window a round
+            before = list(load)
+            for w in windows[lo : lo + n]:
+                g = min(free, key=lambda g: (before[g], g))
+                free.remove(g)
+                groups[w] = base + g
+                load[g] += used[w]
+        base += n
+    return rows, groups
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_matches_brute_force(seed):
+    rng = random.Random(seed)
+    tiers = ((16, 64, 256), packing.TIERS, (7,), (1, 2, 3, 50))[seed % 4]
+    lengths = [rng.choice([1, tiers[0], tiers[-1], tiers[-1] + 1, rng.randrange(1, 3 * tiers[-1]), rng.randrange(1, tiers[0] + 1)]) for _ in range(rng.randrange(1, 250))]
+    got = packing.pack_cell(lengths, tiers, 4)
+    rows, groups = brute_pack(lengths, tiers, 4)
+    assert sorted((i, start, n, t, w, offset) for i, _, start, n, t, w, offset, _ in got) == sorted(rows)
+    assert all(g == groups[w] for *_, w, _, g in got) and all(k == start // tiers[-1] for _, k, start, *_ in got)
+
+
 def test_packing_edges(spark):
-    df = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 100_000), (4, "a"), (4, "a"), (None, "b")], "doc_id long, text string")
-    rows = packing.pack(df).collect()
+    word = " the"
+    df = spark.createDataFrame([(1, None), (2, ""), (3, word * 25_000), (4, "a"), (4, "a"), (None, "b")], "doc_id long, text string")
+    rows = packing.pack_texts(df).collect()
     assert Counter(r["doc_id"] for r in rows) == {1: 1, 2: 1, 3: 4, 4: 2, None: 1}
     assert sum(r["length"] for r in rows if r["doc_id"] == 3) == 25_001 and next(r for r in rows if r["doc_id"] == 2)["length"] == 1
-    assert packing.pack(df.limit(0)).count() == 0
-    assert packing.pack(df, length=F.lit(None).cast("long")).count() == 0
+    assert packing.pack_texts(df.limit(0)).count() == 0
+    assert packing.pack(df, F.lit(None).cast("long")).count() == 0
+
+
+def test_packing_has_no_hot_cell(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CELL_DOCS", 50)
+    rows = packing.pack(spark.range(1000).select(F.lit(None).cast("string").alias("doc_id")), F.lit(1)).collect()
+    sizes = Counter(r["cell"] for r in rows)
+    assert len(rows) == 1000 and len(sizes) > 8 and max(sizes.values()) <= 250
 
 
 @pytest.mark.parametrize("stage", ["op6", "pipeline"])
@@ -145,12 +205,17 @@ def test_packing_counts_real_tokens(spark, stage):
     docs.write.parquet(f"{path}/documents.parquet")
     docs = spark.read.parquet(f"{path}/documents.parquet")
     out = packing.op6_packing(spark, path) if stage == "op6" else corpus_pipeline.pack(spark, docs, path)
+    out = out.collect()
     got, want = Counter(), Counter()
-    for r in out.collect():
+    for r in out:
         got[r["doc_id"]] += r["length"]
     for r in docs.collect():
         want[r["doc_id"]] += len(enc.encode_ordinary(r["text"] or "")) + packing.END_TOKENS
     assert got == want
+    windows = Counter()
+    for r in out:
+        windows[(r["cell"], r["window_no"], r["tier"])] += r["length"]
+    assert all(n <= tier for (_, _, tier), n in windows.items())  # real tokens, cut documents by their parts
 
 
 # -------------------------------------------------------------------------- chat
@@ -261,8 +326,8 @@ def test_chats_of_the_table(spark):
 
 # ---------------------------------------------------------------------- pipeline
 def test_pipeline_matches_brute_force(spark):
-    """Every stage is done again in plain Python; only near-duplicate groups, which are estimated, are taken over and held against similarity elsewhere."""
-    path = tempfile.mkdtemp()
+    """Every stage is done again in plain Python, lengths by the encoder itself; only near-duplicate groups, which are estimated, are taken over and held against similarity elsewhere."""
+    path, enc = tempfile.mkdtemp(), tokens.encoding(tokens.read_ranks())
     src = spark.read.parquet(f"{SF}/documents.parquet")
     extra = [(900, "Same text here.", "en", "src0", 15), (901, "Same text here.", "en", "src0", 15), (901, "Same text here.", "en", "src0", 15), (None, "No id at all.", "en", None, 13), (902, None, "en", "src1", None), (903, "", "en", "src1", 0)]
     src.unionByName(spark.createDataFrame(extra, DOC)).write.parquet(f"{path}/documents.parquet")
@@ -287,7 +352,7 @@ def test_pipeline_matches_brute_force(spark):
         pieces[r["doc_id"]] += r["length"]
     want = Counter()
     for (i, s), n in counts.items():
-        want[i] += n * (math.ceil(len(text[(i, s)]) / packing.CHARS_PER_TOKEN) + packing.END_TOKENS)
+        want[i] += n * (len(enc.encode_ordinary(text[(i, s)])) + packing.END_TOKENS)
     assert pieces == want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "exact dedup", "near dedup", "mix sources", "packing"] and exact_dedup.GENERATIONS == 4
 
