@@ -15,8 +15,8 @@ import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,19 +33,40 @@ SCHEMAS = {
 }
 
 
-def canonical(value) -> str:
-    """Canonical JSON: sorted keys, no spaces, integers for whole doubles, no escapes but the necessary ones."""
+def _text(value: str) -> str:
+    """A JSON string; a surrogate without its other half, which no UTF-8 text can hold, stays escaped."""
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(value, ensure_ascii=False))
+
 
-    def clean(v):
-        if isinstance(v, float):
-            if not math.isfinite(v):
-                return None
-            return int(v) if v == int(v) and abs(v) < 2**53 else v
-        if isinstance(v, dict):
-            return {str(k): clean(x) for k, x in v.items()}
-        return [clean(x) for x in v] if isinstance(v, list) else v
+_SURROGATE = re.compile("[\ud800-\udfff]")
 
-    return json.dumps(clean(value), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+
+def canonical(value) -> str:
+    """Canonical JSON: sorted keys, no spaces, integers for whole doubles, no escapes but the necessary ones; values nested to any depth."""
+    out: list[str] = []
+    todo: list[tuple[bool, object]] = [(False, value)]  # (written already, value), last first
+    while todo:
+        done, v = todo.pop()
+        if done:
+            out.append(v)
+        elif isinstance(v, dict):
+            out.append("{")
+            todo.append((True, "}"))
+            keys = sorted(v)
+            for i in range(len(keys) - 1, -1, -1):
+                todo += [(False, v[keys[i]]), (True, ("," if i else "") + _text(keys[i]) + ":")]
+        elif isinstance(v, (list, tuple)):
+            out.append("[")
+            todo.append((True, "]"))
+            for i in range(len(v) - 1, -1, -1):
+                todo += [(False, v[i]), (True, "," if i else "")]
+        elif isinstance(v, str):
+            out.append(_text(v))
+        elif isinstance(v, float):
+            out.append("null" if not math.isfinite(v) else str(int(v)) if v == int(v) and abs(v) < 2**53 else repr(v))
+        else:
+            out.append(json.dumps(v))
+    return "".join(out)
 
 
 _TYPES = {
@@ -127,10 +148,22 @@ def order(ids: list[str], positions: list[int], needs: list[list[str]]) -> tuple
     return out + rest, set(rest)
 
 
+def _refuse(text: str):
+    raise ValueError(text)
+
+
+def _finite(text: str) -> float:
+    return x if math.isfinite(x := float(text)) else _refuse(text)
+
+
 def arguments(text: str | None, schema: dict | None) -> tuple[object, list[str]]:
-    """Parsed arguments and what is wrong with them; what does not parse stays text."""
+    """Parsed arguments and what is wrong with them; what does not parse stays text.
+
+    NaN, infinities, numbers beyond a double and nesting beyond the parser's depth do
+    not parse.
+    """
     try:
-        value = json.loads(text) if text is not None else None
+        value = json.loads(text, parse_constant=_refuse, parse_float=_finite) if text is not None else None
     except (ValueError, RecursionError):
         return text, ["$: not JSON"]
     if schema is None:
@@ -161,33 +194,38 @@ def conversation(rows: list, schemas: dict) -> tuple[str, str, int, int, int, in
     """
     rows = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0], r[4] or "", r[3] or "", r[6] or "", r[8] if r[8] is not None else -1, r[9] or ""))
     messages, calls = [r for r in rows if r[0] == "message"], [r for r in rows if r[0] == "call"]
-    seen, unique = set(), []
-    for r in calls:  # a repeated call id: the first result of the first call counts
-        if r[4] not in seen or r[4] is None:
-            seen.add(r[4])
-            unique.append(r)
-    seq, cyclic = order([r[4] or "" for r in unique], [r[1] if r[1] is not None else 2**31 - 1 for r in unique], [r[7] for r in unique])
-    said = [(r[1], {"role": r[2], "content": r[3]}) for r in messages]
+    seen, again = set(), set()
+    for i, r in enumerate(calls):  # of a repeated call id the first call has the result
+        if r[4] is not None and r[4] in seen:
+            again.add(i)
+        seen.add(r[4])
+    seq, cyclic = order([r[4] or "" for r in calls], [r[1] if r[1] is not None else 2**63 for r in calls], [r[7] for r in calls])
+    said = [(r[1], {"role": r[2], "content": r[3]} | ({} if r[4] is None else {"tool_call_id": r[4]})) for r in messages]
     open_, invalid, done = 0, 0, []
     for k, i in enumerate(seq):
-        r = unique[i]
+        r = calls[i]
         value, wrong = arguments(r[6], schemas.get(r[5]))
         call = {"arguments": value, "id": r[4], "name": r[5], "valid": not wrong}
         if wrong:
             call["errors"] = wrong
             invalid += 1
-        if r[8] is None:
-            open_ += 1
-        else:
+        if i in again:
+            call["repeated"] = True
+        linked = r[8] is not None and i not in again
+        if linked:
             call["result"] = r[9]
+        else:
+            open_ += 1
         if i in cyclic:
             call["cyclic"] = True
-        result_at = {} if r[8] is None else {"result_at": None if r[8] == -1 else r[8]}
+        result_at = {"result_at": None if r[8] == _NOWHERE else r[8]} if linked else {}
         done.append((r[1], k, call, {"at": r[1]} | result_at | call))
     items = in_order([(p, {"at": p} | m) for p, m in said], [(p, k, x) for p, k, _, x in done])
-    return canonical({"calls": [c for _, _, c, _ in done], "messages": [m for _, m in said]}), canonical(items), len(unique), open_, invalid, len(cyclic)
+    return canonical({"calls": [c for _, _, c, _ in done], "messages": [m for _, m in said]}), canonical(items), len(calls), open_, invalid, len(cyclic)
 
 
+#: Position of a result that has none.
+_NOWHERE = -(2**63)
 _TEXT = ("kind", "role", "text", "call_id", "tool", "args", "result")
 _ITEM = T.StructType(
     [
@@ -206,37 +244,43 @@ def format_chats(messages: DataFrame, calls: DataFrame, results: DataFrame, sche
     has the same objects apart and without positions, as ``{"calls": [...], "messages": [...]}``.
 
     ``messages`` has (conv_id, pos, role, text), ``calls`` (conv_id, pos, call_id, tool,
-    args, needs), ``results`` (conv_id, pos, call_id, text).  A call without a result is
-    open; a result without a call is left out; of several results of a call the first
-    counts (least position, then text), of several calls with one id too.  A null
+    args, needs), ``results`` (conv_id, pos, call_id, text).  Every row of the three is in
+    the output once.  Of several results of a call the first counts (least position, then
+    text); the others, and results without a call, are messages of the role ``tool``
+    with their ``tool_call_id``.  A call without a result is open; of several calls with one
+    id the first has the result, the others are open and marked ``repeated``.  A null
     call id never links.  Null texts are JSON nulls; empty and very long ones stay as
-    they are; null conversation ids make one conversation.  Arguments that are no JSON,
-    or of an unknown tool, count as invalid.  Other columns are not read.  No rows give
-    no rows.
+    they are; null conversation ids make one conversation, and ids of any type pass
+    through as they are.  Arguments that are no JSON, or of an unknown tool, count as
+    invalid.  Other columns are not read.  No rows give no rows.
     """
-    first = results.where("call_id IS NOT NULL").groupBy(F.col("conv_id").alias("rc"), F.col("call_id").alias("rid")).agg(F.min(F.struct("pos", "text")).alias("r"))
-    call = calls.select("conv_id", "pos", "call_id", "tool", "args", "needs").hint("shuffle_hash")
-    linked = call.join(first.hint("shuffle_hash"), F.col("conv_id").eqNullSafe(F.col("rc")) & (F.col("call_id") == F.col("rid")), "left")
+    w = Window.partitionBy("conv_id", "call_id").orderBy("pos", "text")
+    first = F.when(F.row_number().over(w) == 1, F.col("call_id"))
+    found = results.select("conv_id", "pos", "call_id", "text").select(F.col("conv_id").alias("rc"), F.col("pos").alias("rp"), F.col("call_id").alias("ri"), F.col("text").alias("rt"), first.alias("rid"))
+    call = calls.select("conv_id", "pos", "call_id", "tool", "args", "needs", F.lit(True).alias("is_call"))
+    linked = call.hint("shuffle_hash").join(found.hint("shuffle_hash"), F.col("conv_id").eqNullSafe(F.col("rc")) & (F.col("call_id") == F.col("rid")), "full")
 
     def item(*c) -> object:
         return F.struct(*[x.cast(f.dataType).alias(f.name) for x, f in zip(c, _ITEM.fields)]).alias("item")
 
     null = F.lit(None)
+    lone = item(F.lit("message"), F.col("rp"), F.lit("tool"), F.col("rt"), F.col("ri"), null, null, null, null, null)
+    of_call = item(F.lit("call"), F.col("pos"), null, null, F.col("call_id"), F.col("tool"), F.col("args"), F.col("needs"), F.when(F.col("rid").isNotNull(), F.coalesce("rp", F.lit(_NOWHERE))), F.col("rt"))
     rows = messages.select("conv_id", item(F.lit("message"), F.col("pos"), F.col("role"), F.col("text"), null, null, null, null, null, null)).unionByName(
-        linked.select("conv_id", item(F.lit("call"), F.col("pos"), null, null, F.col("call_id"), F.col("tool"), F.col("args"), F.col("needs"), F.coalesce("r.pos", F.when(F.col("rid").isNotNull(), F.lit(-1))), F.col("r.text")))
+        linked.select(F.when(F.col("is_call"), F.col("conv_id")).otherwise(F.col("rc")).alias("conv_id"), F.when(F.col("is_call"), of_call).otherwise(lone).alias("item"))
     )
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _ITEM.names
-        for pdf in batches:
-            out = [conversation([tuple(list(x[n]) if n == "needs" and x[n] is not None else x[n] for n in names) for x in items], schemas) for items in pdf["items"]]
-            made = pd.DataFrame(out, columns=["chat", "items", "n_calls", "n_open", "n_invalid", "n_cyclic"], index=pdf.index)
-            made["items"] = made.pop("items")  # the last column
-            yield pd.concat([pdf[["conv_id"]], made], axis=1)
+        for batch in batches:
+            out = [conversation([tuple(x[n] for n in names) for x in items.as_py()], schemas) for items in batch.column("items")]
+            chat, items, *counts = map(list, zip(*out)) if out else [[]] * 6
+            made = [pa.array(chat, pa.string()), *[pa.array(c, pa.int32()) for c in counts], pa.array(items, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *made], ["conv_id", "chat", "n_calls", "n_open", "n_invalid", "n_cyclic", "items"])
 
     kind = messages.schema["conv_id"].dataType.simpleString()
     whole = rows.groupBy("conv_id").agg(F.collect_list("item").alias("items"))
-    return whole.mapInPandas(write, f"conv_id {kind}, chat string, n_calls int, n_open int, n_invalid int, n_cyclic int, items string")
+    return whole.mapInArrow(write, f"conv_id {kind}, chat string, n_calls int, n_open int, n_invalid int, n_cyclic int, items string")
 
 
 def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -250,11 +294,9 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     turn, or behind the first one after it) are messages, as are system turns and
     turns of any other role.
     """
-    from pyspark.sql import Window as W
-
     t = turns.select(col("conv_id").alias("conv_id"), col("turn").cast("long").alias("pos"), col("role").cast("string").alias("role"), col("text").cast("string").alias("text"))
-    w = W.partitionBy("conv_id").orderBy("pos", "role", "text")
-    before = w.rowsBetween(W.unboundedPreceding, -1)
+    w = Window.partitionBy("conv_id").orderBy("pos", "role", "text")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
     name = lambda p: F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.lit("-"), p.cast("string"))
     asked = F.last(F.when(F.col("role") == "user", F.col("pos")), ignorenulls=True).over(before)
     t = t.withColumn("prev", asked).withColumn("sys", F.coalesce(F.max(F.when(F.col("role") == "system", True)).over(before), F.lit(False)))
@@ -262,7 +304,7 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     needs = F.when(F.col("prev").isNotNull(), F.array(name(F.col("prev")))).otherwise(F.array().cast("array<string>"))
     calls = t.where("role = 'user'").select("conv_id", "pos", name(F.col("pos")).alias("call_id"), F.lit("reply").alias("tool"), args.alias("args"), needs.alias("needs"))
     # the order is that in which format_chats takes the first of several results
-    nth = F.row_number().over(W.partitionBy("conv_id", "prev", F.col("role") == "assistant").orderBy("pos", "text"))
+    nth = F.row_number().over(Window.partitionBy("conv_id", "prev", F.col("role") == "assistant").orderBy("pos", "text"))
     t = t.withColumn("is_result", F.coalesce((F.col("role") == "assistant") & F.col("prev").isNotNull() & (nth == 1), F.lit(False)))
     results = t.where("is_result").select("conv_id", "pos", name(F.col("prev")).alias("call_id"), "text")
     messages = t.where("NOT is_result AND (role IS NULL OR role <> 'user')").select("conv_id", "pos", "role", "text")
@@ -281,7 +323,7 @@ def from_messages(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     t = turns.select(col("conv_id").alias("conv_id"), col("turn").cast("long").alias("pos"), col("role").cast("string").alias("role"), col("text").cast("string").alias("text"))
     t = t.withColumn("j", F.from_json("text", _CALLS))
-    is_call = F.coalesce((F.col("role") == "assistant") & F.col("j.tool_calls").isNotNull(), F.lit(False))
+    is_call = F.coalesce((F.col("role") == "assistant") & (F.size("j.tool_calls") > 0), F.lit(False))
     is_result = F.coalesce((F.col("role") == "tool") & F.col("j.tool_call_id").isNotNull(), F.lit(False))
     each = t.where(is_call).select("conv_id", "pos", F.explode("j.tool_calls").alias("c"))
     calls = each.select("conv_id", "pos", F.col("c.id").alias("call_id"), F.col("c.name").alias("tool"), F.col("c.arguments").alias("args"), F.col("c.needs").alias("needs"))

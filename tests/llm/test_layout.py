@@ -255,12 +255,16 @@ def test_format_chats(spark):
     schemas = {"add": {"type": "object", "properties": {"x": {"type": "integer"}}, "required": ["x"]}}
     out = {x["conv_id"]: x for x in chat.format_chats(m.withColumn("kind", F.lit(1)), c, r, schemas).collect()}
     one = json.loads(out[1]["chat"])
-    assert [x["id"] for x in one["calls"]] == ["a", "b", None, "p", "q"]
+    assert [x["id"] for x in one["calls"]] == ["a", "b", None, "b", "p", "q"]
     assert one["calls"][1] == {"arguments": {"x": 2}, "id": "b", "name": "add", "result": "first", "valid": True}
-    assert one["calls"][0]["errors"] == ["$.x: not of type integer"] and one["calls"][2]["errors"] == ["$: not JSON"] and one["calls"][3]["errors"] == ["$: unknown tool"]
-    assert (out[1]["n_calls"], out[1]["n_open"], out[1]["n_invalid"], out[1]["n_cyclic"]) == (5, 3, 3, 2)
-    assert one["messages"] == [{"content": "be nice", "role": "system"}, {"content": None, "role": "user"}]
-    assert json.loads(out[2]["chat"]) == {"calls": [], "messages": [{"content": "", "role": "user"}]} and None in out
+    assert one["calls"][0]["errors"] == ["$.x: not of type integer"] and one["calls"][2]["errors"] == ["$: not JSON"] and one["calls"][4]["errors"] == ["$: unknown tool"]
+    assert one["calls"][3] == {"arguments": {"x": 7}, "id": "b", "name": "add", "repeated": True, "valid": True}
+    assert (out[1]["n_calls"], out[1]["n_open"], out[1]["n_invalid"], out[1]["n_cyclic"]) == (6, 4, 3, 2)
+    lone = [{"content": "second", "role": "tool", "tool_call_id": "b"}, {"content": "x", "role": "tool", "tool_call_id": "ghost"}]
+    assert one["messages"] == [{"content": "be nice", "role": "system"}, *lone, {"content": None, "role": "user"}]
+    assert json.loads(out[2]["chat"]) == {"calls": [], "messages": [{"content": "", "role": "user"}, {"content": "other conversation", "role": "tool", "tool_call_id": "b"}]} and None in out
+    alone = chat.format_chats(m.limit(0), c.limit(0), r, schemas).collect()
+    assert {x["conv_id"]: len(json.loads(x["items"])) for x in alone} == {1: 4, 2: 1}
     assert chat.format_chats(m.limit(0), c.limit(0), r.limit(0), schemas).count() == 0
 
 
@@ -301,6 +305,51 @@ def test_items_keep_the_order_of_messages_and_calls(spark):
         assert all((x["result"] in place[x["result_at"]][3]) if "result" in x else "result_at" not in x for x in items if "role" not in x)
 
 
+@pytest.mark.parametrize("made", ["turns", "messages"])
+def test_every_turn_is_in_the_items_once(spark, made):
+    rng = random.Random(13)
+    rows = []
+    for n in range(600):
+        conv, turn = rng.choice([1, 2, 3, 2**53 + 1, None]), rng.choice([*range(12), None])
+        text = rng.choice([None, "", "same"]) if rng.random() < 0.2 else f"t{n}"
+        if made == "messages" and text and rng.random() < 0.6:
+            role = rng.choice(["assistant", "tool"])
+            calls = [{"id": rng.choice("abcdef") + str(turn), "name": "x", "arguments": json.dumps({"v": f"{text}-{k}"})} for k in range(rng.randrange(1, 4))]
+            text = json.dumps({"content": None, "tool_calls": calls} if role == "assistant" else {"tool_call_id": rng.choice("abcdef") + str(rng.randrange(12)), "content": text})
+        else:
+            role = rng.choice(["user", "assistant", "system", "user", None])
+        rows.append((conv, turn, role, text))
+    want = defaultdict(Counter)
+    for conv, _, role, text in rows:
+        if made == "messages" and text and text.startswith("{"):
+            j = json.loads(text)
+            want[conv].update([json.loads(c["arguments"])["v"] for c in j["tool_calls"]] if role == "assistant" else [j["content"]])
+        else:
+            want[conv][text] += 1
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = defaultdict(Counter)
+    for r in chat.format_chats(*(chat.from_turns if made == "turns" else chat.from_messages)(df), {"reply": {}, "x": {}}).collect():
+        for x in json.loads(r["items"]):
+            if "role" in x:
+                got[r["conv_id"]][x["content"]] += 1
+            else:
+                got[r["conv_id"]][x["arguments"].get("v", x["arguments"].get("prompt"))] += 1
+                if "result" in x:
+                    got[r["conv_id"]][x["result"]] += 1
+    assert got == want
+
+
+def test_chats_with_odd_arguments(spark):
+    deep = "[" * 3000 + "]" * 3000
+    odd = {"s": '{"prompt": "\\ud800x\\ud83d\\ude00"}', "d": deep, "n": '{"a": NaN}', "i": '{"a": 1e999}', "p": "[" * 200_000, "l": '{"a": ' + "9" * 5000 + "}", "t": "x" * 2_000_000, "e": ""}
+    c = spark.createDataFrame([(2**53 + 1, k, i, "any", a, None) for k, (i, a) in enumerate(odd.items())] + [(None, 0, "z", "any", None, None)], "conv_id long, pos long, call_id string, tool string, args string, needs array<string>")
+    none = spark.createDataFrame([], "conv_id long, pos long, role string, call_id string, text string")
+    out = {r["conv_id"]: r for r in chat.format_chats(none, c, none, {"any": {}}).collect()}
+    assert set(out) == {2**53 + 1, None}
+    text = out[2**53 + 1]["chat"]
+    assert '"prompt":"\\ud800x😀"' in text and f'"arguments":{deep},' in text and out[2**53 + 1]["n_calls"] == 8 and out[2**53 + 1]["n_invalid"] == 6
+
+
 def test_chats_of_the_table(spark):
     df = spark.read.parquet(f"{SF}/conversations.parquet")
     turns = defaultdict(list)
