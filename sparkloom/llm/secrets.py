@@ -3,7 +3,8 @@
 An Aho-Corasick automaton passes once over each text and finds all keywords.  A
 rule's regular expression is tried only at positions that a hit of its keyword fixes,
 anchored there, never searched for in the text.  Secrets whose form embeds a
-checksum or a decodable structure are then validated; those that fail are dropped.
+checksum or a decodable structure are then validated; those that fail are dropped, and
+a failed checksum also rules out what other rules make of the same characters.
 """
 
 from __future__ import annotations
@@ -63,12 +64,14 @@ def _base58check(s: str) -> bool:
 
 
 def _pem(s: str) -> bool:
-    body = re.sub(r"-----[A-Z ]+-----|\s", "", s)
+    """The body is base64 of a key's structure, or of whole cipher blocks where headers say that it is encrypted."""
+    body = re.sub(r"-----[A-Z ]+-----", "", s)
+    encrypted = re.search(r"Proc-Type:\s*4,\s*ENCRYPTED", body)
     try:
-        raw = base64.b64decode(body, validate=True)
+        raw = base64.b64decode(re.sub(r"\s", "", re.sub(r"(?m)^[A-Za-z0-9-]+:[^\n]*$", "", body)), validate=True)
     except (ValueError, binascii.Error):
         return False
-    return len(raw) > 32 and (raw[0] == 0x30 or raw.startswith(b"openssh-key-v1"))
+    return len(raw) > 32 and (len(raw) % 8 == 0 if encrypted else raw[0] == 0x30 or raw.startswith(b"openssh-key-v1"))
 
 
 def _entropy(s: str) -> bool:
@@ -94,32 +97,38 @@ class Rule:
     flags: int = 0
 
 
-_NAMED = r"""(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key)["']?\s{0,3}(?::=|=>|=|:)\s{0,3}"""
-#: Keywords of _NAMED as hits.
-_KEYS = ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "access-key", "accesskey", "auth_key", "auth-key", "authkey", "private_key", "private-key", "privatekey")
+#: Names before a value; the rules' keywords and their expression are both made of them.
+_SHORT = ("token", "secret", *(a + sep + "key" for a in ("api", "access", "auth", "private") for sep in ("", "_", "-")))
+_KEYS = (*_SHORT, "password", "passwd")
+
+
+def _named(names: tuple[str, ...]) -> str:
+    return rf"""(?:{"|".join(names)})["']?\s{{0,3}}(?::=|=>|=|:)\s{{0,3}}"""
+
+
 #: A character of an unquoted value.  Without separators no value holds the start of another, so the time stays linear.
 _BARE = r"""[^\s"'`=:;,.?<>(){}\[\]|&\\]"""
 RULES = (
     Rule("code_host_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"(gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])", _crc_tail, "checksum"),
     Rule("package_token", ("npm_",), r"(npm_[A-Za-z0-9]{36})(?![A-Za-z0-9])", _crc_tail, "checksum"),
     Rule("web_token", ("eyj",), r"(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{8,})", _jwt, "structure"),
-    Rule("private_key", ("-----begin",), r"(-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----[A-Za-z0-9+/=\s]{40,}-----END [A-Z ]{0,20}PRIVATE KEY-----)", _pem, "structure"),
+    Rule("private_key", ("-----begin",), r"(-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----(?:\s*[A-Za-z0-9-]{1,40}:[^\n]{0,200}\n){0,8}[A-Za-z0-9+/=\s]{40,}-----END [A-Z ]{0,20}PRIVATE KEY-----)", _pem, "structure"),
     Rule("wallet_key", ("wif", "wallet", "privkey"), r"""(?:wif|wallet|privkey)["']?\s{0,3}(?:=|:)\s{0,3}["']?([5KL][1-9A-HJ-NP-Za-km-z]{50,51})(?![A-Za-z0-9])""", _base58check, "checksum", re.I),
     Rule("cloud_key_id", ("akia", "asia"), r"((?:AKIA|ASIA)[A-Z2-7]{16})(?![A-Za-z0-9])", _entropy),
     Rule("chat_token", ("xox",), r"(xox[abprs]-[A-Za-z0-9-]{20,})", _entropy),
     Rule("payment_key", ("sk_live_", "rk_live_"), r"([sr]k_live_[A-Za-z0-9]{20,})", _entropy),
     Rule("map_key", ("aiza",), r"(AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9_-])", _entropy),
-    Rule("named_secret", ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "access-key", "auth_key", "private_key"), _NAMED + r"""["']([A-Za-z0-9+/_.=~-]{16,})["']""", _entropy, "entropy", re.I),
-    Rule("named_hex", ("token", "secret", "api_key", "api-key", "apikey", "access_key", "access-key", "auth_key", "private_key"), _NAMED + r"([0-9a-f]{32,})(?![0-9A-Za-z])", _entropy, "entropy", re.I),
-    Rule("named_quoted", _KEYS, _NAMED + r"""(?:"(?=[^"\s]{16,}")|'(?=[^'\s]{16,}'))((?<=")[^"\s]+|(?<=')[^'\s]+)""", _entropy, "entropy", re.I),
-    Rule("named_bare", _KEYS, _NAMED + rf"((?>(?:{_BARE}|[.?](?={_BARE})){{16,}}={{0,2}}))(?![(\[{{=:])", _mixed, "entropy", re.I),
+    Rule("named_secret", _KEYS, _named(_KEYS) + r"""["']([A-Za-z0-9+/_.=~-]{16,})["']""", _entropy, "entropy", re.I),
+    Rule("named_hex", _SHORT, _named(_SHORT) + r"([0-9a-f]{32,})(?![0-9A-Za-z])", _entropy, "entropy", re.I),
+    Rule("named_quoted", _KEYS, _named(_KEYS) + r"""(?:"(?=[^"\s]{16,}")|'(?=[^'\s]{16,}'))((?<=")[^"\s]+|(?<=')[^'\s]+)""", _entropy, "entropy", re.I),
+    Rule("named_bare", _KEYS, _named(_KEYS) + rf"((?>(?:{_BARE}|[.?](?={_BARE})){{16,}}={{0,2}}))(?![(\[{{=:])", _mixed, "entropy", re.I),
 )
 
 
 def _lower(text: str) -> str:
-    """Lower case that keeps every position."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c if len(x := c.lower()) != 1 else x for c in text)
+    """Lower case that keeps every position, as expressions that ignore case read it (long s is an s to them)."""
+    low = text.lower().replace("\u017f", "s")
+    return low if len(low) == len(text) else "".join(c if len(x := c.lower()) != 1 else x for c in text).replace("\u017f", "s")
 
 
 class Scanner:
@@ -136,8 +145,13 @@ class Scanner:
         self.automaton.make_automaton()
 
     def scan(self, text: str) -> list[tuple[str, int, int, str, str]]:
-        """(rule, start, end, secret, proof), by position; of findings that cover the same characters the first rule's stays."""
+        """(rule, start, end, secret, proof), by position; of findings that cover the same characters the first rule's stays.
+
+        What has the form of a checksum rule and fails its checksum is no secret by any
+        other rule that only measures entropy: findings that overlap it go.
+        """
         found: dict[tuple[int, int], tuple] = {}
+        failed: list[tuple[int, int]] = []
         for end, (n, of) in self.automaton.iter(_lower(text)):
             at = end - n + 1
             for i in of:
@@ -145,12 +159,14 @@ class Scanner:
                 if not m:
                     continue
                 rule, secret = self.rules[i], m.group(1)
+                span = m.span(1)
                 if rule.check and not rule.check(secret):
+                    if rule.proof == "checksum":
+                        failed.append(span)
                     continue
-                span = m.span(1)
                 if span not in found or found[span][0] > i:
                     found[span] = (i, secret)
-        return [(self.rules[i].name, a, b, s, self.rules[i].proof) for (a, b), (i, s) in sorted(found.items())]
+        return [(self.rules[i].name, a, b, s, self.rules[i].proof) for (a, b), (i, s) in sorted(found.items()) if self.rules[i].proof != "entropy" or not any(x < b and a < y for x, y in failed)]
 
 
 _scanner: list[Scanner] = []
@@ -170,7 +186,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Positions count characters from 0.  The secret itself is not given, only its
     digest and first four characters.  ``proof`` says what validated it: ``checksum``,
-    ``structure`` or ``entropy``; candidates that fail are absent.  Null and empty
+    ``structure`` or ``entropy``; candidates that fail are absent, and so are those of
+    ``entropy`` that overlap one whose checksum fails.  Null and empty
     texts have no findings, null ids stay null, repeated rows are scanned each, texts
     of any length are scanned whole.  Extra columns are not read.
     """
