@@ -1,11 +1,13 @@
 """License scans by conditional compression.
 
 Word windows around mentions of licensing, wide enough for the longest template, are
-searched for each template whose words they hold.  A wording is confirmed by its exact
-differences: the words of the template that it lacks or adds, aligned in order, and the
-words that name the license, none of which may differ.  Wordings that overlap are ranked,
-last by what the template saves, as a zstandard raw dictionary, of the matched words'
-plain compressed size.  Text around a wording has no part in it.
+candidate blocks.  A block is compressed with each template whose words it holds as a
+zstandard raw dictionary, and the templates are ranked by how much smaller it gets
+than without.  In that order each is confirmed by the exact differences of its
+wording: the words of the template that the text lacks or adds, aligned in order, and
+the words that name the license, none of which may differ.  Of wordings that overlap
+the one whose matched words its template saves most bytes of counts.  Text around a
+wording has no part in it.
 """
 
 from __future__ import annotations
@@ -41,33 +43,84 @@ _MIT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
     "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
 )
+_MIT_BODY = _MIT + (
+    ", subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
 _BSD = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, "
     "this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 )
+_BSD_THIRD = " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 _APACHE = (
     "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"
 )
+_APACHE_BODY = _APACHE + (
+    " http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+    "See the License for the specific language governing permissions and limitations under the License."
+)
 _GPL = (
     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
 )
+_GPL_END = (
+    " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. "
+    "You should have received a copy of the GNU General Public License along with this program."
+)
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_END = (
+    " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER "
+    "RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_UNLICENSE = "This is free and unencumbered software released into the public domain."
+_UNLICENSE_END = (
+    " Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. "
+    "We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."
+)
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+    "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+    "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution."
+)
+_BOOST = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, "
+    "and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, "
+    "must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."
+)
 TEMPLATES = (
     Template("Apache-2.0", _APACHE, ("apache", "2.0")),
+    Template("Apache-2.0", _APACHE_BODY, ("apache", "2.0", "governing")),
     Template("Apache-2.0", "Licensed under the Apache License, Version 2.0.", ("apache", "2.0")),
     Template("MIT", _MIT, ("permission", "hereby", "granted", "sublicense")),
+    Template("MIT", _MIT_BODY, ("permission", "hereby", "granted", "sublicense", "warranty")),
     Template("MIT", "Released under the MIT License.", ("mit",)),
     Template("BSD-2-Clause", _BSD, ("redistribution", "redistributions", "disclaimer")),
-    Template("BSD-3-Clause", _BSD + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ("neither", "endorse", "promote")),
+    Template("BSD-3-Clause", _BSD + _BSD_THIRD, ("neither", "endorse", "promote")),
+    Template("BSD-2-Clause", _BSD + _BSD_END, ("redistribution", "redistributions", "disclaimer", "merchantability")),
+    Template("BSD-3-Clause", _BSD + _BSD_THIRD + _BSD_END, ("neither", "endorse", "promote", "merchantability")),
     Template("BSD-3-Clause", "Licensed under the BSD 3-Clause License.", ("bsd", "3", "clause")),
     Template("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", ("gnu", "general", "public", "3")),
     Template("GPL-3.0", _GPL.format(3), ("gnu", "general", "public", "3")),
+    Template("GPL-3.0", _GPL.format(3) + _GPL_END, ("gnu", "general", "public", "3", "merchantability")),
     Template("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", ("gnu", "general", "public", "2")),
     Template("GPL-2.0", _GPL.format(2), ("gnu", "general", "public", "2")),
+    Template("GPL-2.0", _GPL.format(2) + _GPL_END, ("gnu", "general", "public", "2", "merchantability")),
     Template("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3.", ("gnu", "lesser", "3")),
     Template("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3.", ("gnu", "affero", "3")),
     Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", ("mozilla", "2.0")),
-    Template("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ("permission", "fee", "granted")),
-    Template("Unlicense", "This is free and unencumbered software released into the public domain.", ("unencumbered", "public", "domain")),
+    Template("ISC", _ISC, ("permission", "fee", "granted")),
+    Template("ISC", _ISC + _ISC_END, ("permission", "fee", "granted", "disclaims")),
+    Template("Unlicense", _UNLICENSE, ("unencumbered", "public", "domain")),
+    Template("Unlicense", _UNLICENSE + _UNLICENSE_END, ("unencumbered", "public", "domain", "relinquishment")),
+    Template("Zlib", _ZLIB, ("misrepresented", "altered", "freely")),
+    Template("BSL-1.0", _BOOST, ("machine", "executable", "transmit", "derivative")),
     Template("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", ("cc", "by", "nc", "4.0")),
     Template("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ("creative", "commons", "noncommercial", "4.0")),
     Template("CC-BY-4.0", "Licensed under CC BY 4.0.", ("cc", "by", "4.0")),
@@ -79,7 +132,7 @@ TEMPLATES = (
 )
 
 #: Parts of words of the lower-case text, one of which every window contains; single words, so that a line break cannot split them.
-MARKS = ("licens", "licenc", "reserved", "hereby", "redistribut", "unencumbered", "copyright")
+MARKS = ("licens", "licenc", "reserved", "hereby", "redistribut", "unencumbered", "copyright", "misrepresented")
 _WORD = re.compile(r"\d+(?:\.\d+)+|\w+")
 
 
@@ -121,11 +174,16 @@ class Matcher:
         kind = zstandard.DICT_TYPE_RAWCONTENT
         self.given = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=kind), write_content_size=False, write_checksum=False, write_dict_id=False) for w in self.words]
 
-    def saved(self, span_words: list[str], i: int) -> float:
-        """Share of the words' plain compressed size that the template saves."""
+    def saved(self, span_words: list[str], i: int) -> tuple[int, int]:
+        """(bytes that the template saves of the words' plain compressed size, that size)."""
         raw = " ".join(span_words).encode("utf-8", "surrogatepass")
         plain = len(self.plain.compress(raw))
-        return (plain - len(self.given[i].compress(raw))) / plain
+        return plain - len(self.given[i].compress(raw)), plain
+
+    def ranked(self, block_words: list[str]) -> list[int]:
+        """Templates that can be confirmed in the block, by the bytes they save of it, most first."""
+        some = self.possible(block_words)
+        return sorted(some, key=lambda i: (-self.saved(block_words, i)[0], i)) if len(some) > 1 else some
 
     def possible(self, block_words: list[str]) -> list[int]:
         """Templates whose names are all there, and enough of whose words; no other can be confirmed."""
@@ -162,11 +220,12 @@ class Matcher:
     def hits(self, block_words: list[str]) -> list[tuple[int, int, str, float, int, int]]:
         """(first word, end, license, share saved, words missing, words added) of every confirmed wording that no better one overlaps, best first.
 
-        Better is the one with more matched words over differences, then fewer differences, then the larger share saved.
+        Better is the one of whose matched words the template saves more bytes, then the
+        one with fewer differences, then the one ranked first for its block.
         """
         every = {}
         for lo, hi in windows(block_words, self.reach):
-            for i in self.possible(block_words[lo:hi]):
+            for rank, i in enumerate(self.ranked(block_words[lo:hi])):
                 rest = [(lo, hi)]
                 while rest:  # what lies before and behind a stretch is searched again
                     a, b = rest.pop()
@@ -174,17 +233,17 @@ class Matcher:
                         continue
                     first, end, d = self.align(block_words[a:b], i)
                     if d:
-                        every[(a + first, a + end, i)] = d
+                        every.setdefault((a + first, a + end, i), (d, rank))
                     rest += [(a, a + first), (a + end, b)]
         rows = []
-        for (first, end, i), d in every.items():
-            share = self.saved(block_words[first:end], i)
-            rows.append((sum(d) - (len(self.words[i]) - d[0]), sum(d), -share, first, i, end, d))
+        for (first, end, i), (d, rank) in every.items():
+            less, plain = self.saved(block_words[first:end], i)
+            rows.append((-less, sum(d), rank, first, i, end, d, less / plain))
         out, taken = [], set()
-        for _, _, share, first, i, end, d in sorted(rows):
+        for _, _, _, first, i, end, d, share in sorted(rows):
             if taken.isdisjoint(range(first, end)):
                 taken.update(range(first, end))
-                out.append((first, end, self.templates[i].license, round(-share, 4), *d))
+                out.append((first, end, self.templates[i].license, round(share, 4), *d))
         return out
 
     def best(self, block: str) -> tuple[str, float, int, int] | None:
