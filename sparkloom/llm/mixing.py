@@ -61,14 +61,14 @@ def allocate(counts: DataFrame, weights: DataFrame | None, percent: float, tempe
     return w.select("src", "rows", "size", "want")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "n_chars", weights: DataFrame | None = None, percent: float = PERCENT, temperature: float = TEMPERATURE) -> DataFrame:
-    """``docs``, each row as often as sampled, with ``copy`` numbering a row's copies from 0.
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "n_chars", weights: DataFrame | None = None, percent: float = PERCENT, temperature: float = TEMPERATURE, copy: str | None = "copy") -> DataFrame:
+    """``docs``, each row as often as sampled, with the column ``copy``, if any, numbering a row's copies from 0.
 
     A null source is a source of its own; a null size counts as the least size; null
     ids draw one number as if they were one id.  Equal ranks go by id, nulls last;
     rows that tie in id and source are interchangeable, and just as many of them are
     taken as there are places.  Texts are not looked at.  Other columns, whatever their
-    names, stay; one called ``copy`` is replaced.  No rows, or no weight above 0, give no rows.
+    names, stay; one called as ``copy`` is replaced.  No rows, or no weight above 0, give no rows.
     """
     path = shared_dir(docs.sparkSession)
     sealed = Sealed(docs)
@@ -105,7 +105,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
         some = some.withColumn("__n", F.col("__n") + F.when(F.col("__r") <= F.col("take"), 1).otherwise(0)).drop("__r")
         out = out.where(~tie).unionByName(some)
     out = out.where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0), (F.col("__n") - 1).cast("int"))))
-    return sealed.open(out, F.col("__copy").alias("copy"), drop="copy")
+    return sealed.open(out) if copy is None else sealed.open(out, F.col("__copy").alias(copy), drop=copy.lower())
 
 
 def _before(a: str, b: str) -> Column:

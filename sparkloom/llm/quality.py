@@ -60,15 +60,15 @@ def _visible(t: Column) -> Column:
     return F.length(t) - F.length(F.regexp_replace(t, r"\S+", ""))
 
 
-def clean_lines(docs: DataFrame, text_col: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:
-    """``docs`` without rejected documents, their text cut to the lines that pass, plus ``kept_share``.
+def clean_lines(docs: DataFrame, text_col: str = "text", max_loss: float = MAX_LOSS, share: str | None = "kept_share") -> DataFrame:
+    """``docs`` without rejected documents, their text cut to the lines that pass, plus the column ``share``, if any.
 
     A text is split at line feeds.  Characters count without white space; the share
     kept is that of the characters in passing lines.  Rejected are null texts, texts
     without a visible character (empty ones too), and those that keep less than
     ``1 - max_loss``.  Texts of any length are judged whole.  Repeated rows are judged
     alike.  ``n_chars``, where there is one, follows the new text.  Other columns,
-    whatever their names, stay; one called ``kept_share`` is replaced.
+    whatever their names, stay; one called as ``share`` is replaced.
     """
     text = col(text_col).cast("string")
     # Each step binds the one before as a lambda's variable, so that nothing is evaluated twice; the generator drops rejected texts.
@@ -77,12 +77,12 @@ def clean_lines(docs: DataFrame, text_col: str = "text", max_loss: float = MAX_L
     counted = F.transform(cut, lambda d: F.struct(d["c"].alias("c"), _visible(d["t"]).alias("had"), F.when(d["c"] != d["t"], _visible(d["c"])).alias("kept")))
     judged = F.transform(counted, lambda d: F.struct(d["c"].alias("c"), d["had"].alias("had"), F.coalesce(d["kept"], d["had"]).alias("kept")))
     passed = F.filter(judged, lambda d: (d["kept"] > 0) & (d["kept"] >= F.lit(1 - max_loss) * d["had"]))
-    names = [c for c in docs.columns if c.lower() != "kept_share"]
+    names = [c for c in docs.columns if share is None or c.lower() != share.lower()]
     p = fresh(docs, "passed")
     out = docs.where(col(text_col).isNotNull()).select(*[col(c) for c in names if c != text_col], F.explode(passed).alias(p))
     got = lambda f: F.col(f"{p}.{f}")
     given = {text_col: got("c")} | {c: F.length(got("c")).cast(docs.schema[c].dataType) for c in names if c.lower() == "n_chars" and c != text_col}
-    return out.select(*[given.get(c, col(c)).alias(c) for c in names], F.round(got("kept") / got("had"), 6).alias("kept_share"))
+    return out.select(*[given.get(c, col(c)).alias(c) for c in names], *([] if share is None else [F.round(got("kept") / got("had"), 6).alias(share)]))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

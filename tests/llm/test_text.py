@@ -77,16 +77,18 @@ def jwt(head):
 
 
 def brute_scan(text):
-    """All rules searched at every position where the text matches."""
-    best = {}
+    """All rules tried at every position of the text, without keywords."""
+    best, failed = {}, []
     for i, r in enumerate(secrets.RULES):
         rx = re.compile(r.pattern, r.flags)
         for at in range(len(text)):
             m = rx.match(text, at)
-            if m and any(secrets._lower(text).startswith(k, at) for k in r.keywords) and (not r.check or r.check(m.group(1))):
-                if m.span(1) not in best or best[m.span(1)][0] > i:
-                    best[m.span(1)] = (i, m.group(1))
-    return [(secrets.RULES[i].name, a, b, s, secrets.RULES[i].proof) for (a, b), (i, s) in sorted(best.items())]
+            if m and r.check and not r.check(m.group(1)):
+                failed += [m.span(1)] if r.proof == "checksum" else []
+            elif m and (m.span(1) not in best or best[m.span(1)][0] > i):
+                best[m.span(1)] = (i, m.group(1))
+    rows = [(secrets.RULES[i].name, a, b, s, secrets.RULES[i].proof) for (a, b), (i, s) in sorted(best.items())]
+    return [r for r in rows if r[4] != "entropy" or all(r[2] <= x or y <= r[1] for x, y in failed)]
 
 
 def test_secrets_match_brute_force_and_validate(spark):
@@ -119,6 +121,37 @@ def test_secrets_of_any_length_unquoted_and_with_symbols():
     scanner.scan("token=" * 50_000 + "token='" * 50_000 + 'token="' * 50_000)  # linear
 
 
+def test_failed_checksums_veto_other_rules():
+    rng = random.Random(7)
+    scanner = secrets.Scanner()
+    for form in ('token = "{}"', "password='{}'", "API_KEY={}", "secret: {}", "{}"):
+        for prefix in ("ghp_", "npm_"):
+            good, bad = form.format(token(prefix, rng)), form.format(token(prefix, rng, False))
+            assert scanner.scan(bad) == brute_scan(bad) == []
+            assert {r[4] for r in scanner.scan(good)} >= {"checksum"} and scanner.scan(good) == brute_scan(good)
+    for text in ("wallet = " + wif(False), f'wif: "{wif(False)}"'):
+        assert scanner.scan(text) == brute_scan(text) == []
+
+
+def test_every_spelling_of_a_name_is_a_keyword():
+    """Each name that the expressions take finds its value, whatever its case, with and without the keyword search."""
+    scanner, value = secrets.Scanner(), "h7Kq2Lw9Zx4Vb8Nm"
+    names = [w for a in ("api", "access", "auth", "private") for w in (a + "key", a + "_key", a + "-key")] + ["token", "secret", "password", "passwd"]
+    for n in names:
+        for name in (n, n.upper(), n.title(), n.replace("s", "\u017f").replace("k", "\u212a")):
+            for text in (f'{name} = "{value}"', f"my_{name}: {value}"):
+                got = scanner.scan(text)
+                assert [text[a:b] for _, a, b, *_ in got] == [value] and got == brute_scan(text), text
+
+
+def test_encrypted_private_keys():
+    body = base64.b64encode(bytes(range(160))).decode()
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n{body[:64]}\n{body[64:]}\n-----END RSA PRIVATE KEY-----"
+    text = f"key:\n{pem}\nend"
+    assert [(r[0], r[3]) for r in secrets.Scanner().scan(text)] == [("private_key", pem)] and secrets.Scanner().scan(text) == brute_scan(text)
+    assert secrets.Scanner().scan(text.replace(body[:64], body[:63])) == []
+
+
 def test_secrets_of_the_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = {r[0] for r in df.where(F.col("text").rlike('token = "[0-9a-f]{40}"')).select("doc_id").collect()}
