@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import exact_dedup, minhash, mixing, packing, quality
-from sparkloom.llm.common import shared_dir, table
+from sparkloom.llm.common import drop_path, scratch, shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts cut to the lines that pass; rejected documents go."""
-    return quality.clean_lines(docs).select(docs.columns)
+    return quality.clean_lines(docs, share=None)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sample in target weights; copies of a document are repeated rows."""
-    return mixing.mix(docs).select(docs.columns)
+    return mixing.mix(docs, copy=None)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,6 +48,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     path, docs = shared_dir(spark), table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{path}/{k}")
+        with scratch(spark):  # what a stage has written for itself goes with it
+            stage(spark, docs, sf_dir).write.parquet(f"{path}/{k}")
         docs = spark.read.parquet(f"{path}/{k}")
+        if k:
+            drop_path(spark, f"{path}/{k - 1}")
     return docs
