@@ -119,8 +119,9 @@ def _text(x: str) -> str:
 
 def json_scalar(a: list[str]) -> str:
     p = json_path(a[1]) if len(a) > 1 else "'$'"
-    got = f"get_json_object({_text(a[0])}, {p})"
-    return f"CASE WHEN left({got}, 1) NOT IN ('{{', '[') THEN {got} END" if len(a) > 1 else f"variant_get(parse_json({_text(a[0])}), '$', 'string')"
+    text = _text(a[0])
+    # only a text that begins like an array or object is parsed again, to tell a string from these
+    return f"transform(array(get_json_object({text}, {p})), g -> CASE WHEN left(g, 1) NOT IN ('{{', '[') OR schema_of_variant(try_variant_get(try_parse_json({text}), {p})) = 'STRING' THEN g END)[0]" if len(a) > 1 else f"variant_get(parse_json({_text(a[0])}), '$', 'string')"
 
 
 def json_query(a: list[str]) -> str:
@@ -128,6 +129,26 @@ def json_query(a: list[str]) -> str:
     return f"to_json(variant_get(parse_json({_text(a[0])}), {p}))"
 
 
+#: Levels of nested objects whose keys JSON_KEYS gives where no depth is named.
+JSON_KEY_LEVELS = 8
+
+
+def json_keys(a: list[str]) -> str:
+    """Distinct paths of keys, sorted, level by level down to a literal depth; arrays are not entered."""
+    levels = int(a[1].rstrip("L")) if len(a) > 1 and re.fullmatch(r"\d+L?", a[1]) else JSON_KEY_LEVELS
+
+    def members(text: str, path: str) -> str:
+        """(path, JSON text) of an object's members."""
+        at = "concat('$[\"', k, '\"]')"
+        return f"transform(coalesce(json_object_keys({text}), array()), k -> struct({path} AS p, to_json(try_variant_get(try_parse_json({text}), {at})) AS t))"
+
+    level = out = members(_text(a[0]), "k")
+    for _ in range(levels - 1):
+        level = f"flatten(transform({level}, m -> {members('m.t', 'concat(m.p, chr(46), k)')}))"
+        out = f"concat({out}, {level})"
+    return f"array_sort(array_distinct(transform({out}, m -> m.p)))"
+
+
 def json_array(scalars: bool) -> Render:
     def go(a: list[str]) -> str:
         p = json_path(a[1]) if len(a) > 1 else "'$'"
@@ -394,7 +415,11 @@ def instr(a: list[str]) -> str:
         return f"instr({a[0]}, {a[1]})"
     if len(a) == 3:
         return f"locate({a[1]}, {a[0]}, {a[2]})"
-    raise InvalidQuery("INSTR with an occurrence is not supported")
+    v, sub, pos, nth = a
+    last = f"(length({v}) + 1 + {pos})"
+    # places to look at, in the order of counting; matches may overlap
+    at = f"CASE WHEN {pos} > 0 AND {pos} <= length({v}) THEN sequence(CAST({pos} AS INT), length({v})) WHEN {pos} < 0 AND {last} > 0 THEN sequence(CAST({last} AS INT), 1, -1) ELSE CAST(array() AS ARRAY<INT>) END"
+    return f"CAST(coalesce(get(filter({at}, i -> substring({v}, i, length({sub})) = {sub}), CAST({nth} AS INT) - 1), IF({v} IS NULL OR {sub} IS NULL, NULL, 0)) AS BIGINT)"
 
 
 def format_string(a: list[str]) -> str:
@@ -477,7 +502,7 @@ FUNCTIONS: dict[str, Render] = {
     "ARRAY_LENGTH": lambda a: f"CAST(size({a[0]}) AS BIGINT)", "ARRAY_CONCAT": concat_nulls("concat"), "ARRAY_TO_STRING": array_to_string, "ARRAY_REVERSE": rename("reverse"), "ARRAY_FIRST": lambda a: f"{a[0]}[0]", "ARRAY_LAST": lambda a: f"element_at({a[0]}, -1)", "ARRAY_SLICE": lambda a: f"slice({a[0]}, {a[1]} + 1, {a[2]} - {a[1]} + 1)",
     "JSON_VALUE": json_scalar, "JSON_EXTRACT_SCALAR": json_scalar, "JSON_QUERY": json_query, "JSON_EXTRACT": json_query, "JSON_VALUE_ARRAY": json_array(True), "JSON_EXTRACT_STRING_ARRAY": json_array(True), "JSON_QUERY_ARRAY": json_array(False), "JSON_EXTRACT_ARRAY": json_array(False),
     "PARSE_JSON": lambda a: f"parse_json({a[0]})", "TO_JSON_STRING": to_json_string, "TO_JSON": lambda a: f"parse_json({to_json_string(a)})", "JSON_TYPE": lambda a: f"lower(schema_of_variant({a[0]}))", "INT64": lambda a: f"CAST({a[0]} AS BIGINT)", "FLOAT64": lambda a: f"CAST({a[0]} AS DOUBLE)", "BOOL": lambda a: f"CAST({a[0]} AS BOOLEAN)",
-    "LAX_INT64": lambda a: f"try_cast({a[0]} AS BIGINT)", "LAX_STRING": lambda a: f"try_cast({a[0]} AS STRING)",
+    "JSON_KEYS": json_keys, "LAX_INT64": lambda a: f"try_cast({a[0]} AS BIGINT)", "LAX_STRING": lambda a: f"try_cast({a[0]} AS STRING)",
     "COUNTIF": rename("count_if"), "LOGICAL_AND": rename("bool_and"), "LOGICAL_OR": rename("bool_or"), "APPROX_QUANTILES": approx_quantiles, "APPROX_TOP_COUNT": lambda a: f"transform(approx_top_k({a[0]}, {a[1]}), x -> named_struct('value', x.item, 'count', x.count))",
     "HLL_COUNT.INIT": lambda a: f"hll_sketch_agg({a[0]})", "HLL_COUNT.MERGE": lambda a: f"hll_sketch_estimate(hll_union_agg({a[0]}))", "HLL_COUNT.MERGE_PARTIAL": lambda a: f"hll_union_agg({a[0]})", "HLL_COUNT.EXTRACT": lambda a: f"hll_sketch_estimate({a[0]})",
     "ERROR": rename("raise_error"), "SESSION_USER": lambda a: "current_user()", "NULLIFZERO": rename("nullifzero"), "ZEROIFNULL": rename("zeroifnull"), "RANGE_BUCKET": lambda a: f"CAST(size(filter({a[1]}, x -> x <= {a[0]})) AS BIGINT)",
