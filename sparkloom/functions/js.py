@@ -41,7 +41,7 @@ def _process(names: tuple[str, ...], body: str) -> subprocess.Popen:
 
 
 def _plain(v):
-    """A column value as JavaScript sees it: INT64 and NUMERIC as numbers, BYTES as base64."""
+    """A column value as JavaScript sees it: INT64 and NUMERIC as numbers, beyond 2**53 as text (a number would lose digits), BYTES as base64."""
     if v is None or v is pd.NaT:
         return None
     if isinstance(v, float) and v != v:
@@ -54,6 +54,8 @@ def _plain(v):
         return float(v)
     if hasattr(v, "tolist"):
         v = v.tolist()
+    if isinstance(v, int) and not -(2**53) <= v <= 2**53:
+        return str(v)
     if isinstance(v, dict):
         return {k: _plain(x) for k, x in v.items()}
     if hasattr(v, "asDict"):
@@ -89,9 +91,15 @@ def js_function(names: tuple[str, ...], body: str, kind: str) -> Callable[..., p
     def call(*cols: pd.Series) -> pd.Series:
         p = _process(names, body)
         rows = [[_plain(v) for v in r] for r in zip(*cols)]
-        p.stdin.write(json.dumps(rows) + "\n")
-        p.stdin.flush()
-        out = json.loads(p.stdout.readline())
+        try:
+            p.stdin.write(json.dumps(rows) + "\n")
+            p.stdin.flush()
+            answer = p.stdout.readline()
+        except BrokenPipeError:
+            answer = ""
+        if not answer:
+            raise RuntimeError(f"JavaScript function ended with exit code {p.wait()}")
+        out = json.loads(answer)
         for bad, v in out:
             if bad:
                 raise RuntimeError(f"JavaScript error: {v}")

@@ -8,7 +8,9 @@ import uuid
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .engine import Engine, Result
 from .errors import EngineError, Invalid, NotFound, Stopped, translate
@@ -33,6 +35,7 @@ class Job:
     schema: dict | None = None
     total: int = 0
     rows: list[dict] | None = None
+    parts: list[tuple[str, int]] = field(default_factory=list)
     future: Future | None = None
     cancelled: bool = False
 
@@ -127,18 +130,24 @@ class Jobs:
         if q.get("destinationTable"):
             self.engine.store(_table(q["destinationTable"]), r.df, q.get("writeDisposition", "WRITE_EMPTY"), q.get("createDisposition", "CREATE_IF_NEEDED"))
             r.df = self.engine.catalog.table(_table(q["destinationTable"]))
-        # a small result is collected once; a large one is written and paged from its files
-        head = r.df.limit(KEEP + 1).collect()
-        if len(head) <= KEEP:
-            job.rows, job.total = rest_rows(head, r.df.schema), len(head)
-        else:
-            r.df = self._spill(job, r.df)
-            job.total = r.df.count()
+        # a small result is collected once; a large one is written and paged from its files.  What the first look has computed is kept for the write
+        df = r.df.persist(StorageLevel.DISK_ONLY)
+        try:
+            head = df.limit(KEEP + 1).collect()
+            if len(head) <= KEEP:
+                job.rows, job.total = rest_rows(head, df.schema), len(head)
+            else:
+                job.parts = self._spill(job, df)
+                job.total = sum(n for _, n in job.parts)
+        finally:
+            df.unpersist()
 
-    def _spill(self, job: Job, df: DataFrame) -> DataFrame:
+    def _spill(self, job: Job, df: DataFrame) -> list[tuple[str, int]]:
+        """Files of the result in its order, each with its rows."""
         path = f"{self.engine.catalog.files.root}/results/{job.job_id}"
         df.write.parquet(path)
-        return self.engine.spark.read.schema(df.schema).parquet(path)
+        n = self.engine.spark.read.parquet(path).groupBy(F.input_file_name().alias("f")).count()
+        return sorted((r["f"], r["count"]) for r in n.collect())
 
     def wait(self, job: Job, seconds: float | None = None) -> bool:
         """Whether the job is done in time."""
@@ -178,8 +187,13 @@ class Jobs:
         elif job.result is None or job.result.df is None:
             return [], None
         else:
-            df = job.result.df
-            rows = rest_rows(df.offset(start).limit(n).collect(), df.schema)
+            # only the files that hold the page are read
+            schema, at, rows = job.result.df.schema, 0, []
+            for path, count in job.parts:
+                skip, left = max(start - at, 0), n - len(rows)
+                if skip < count and left > 0:
+                    rows += rest_rows(self.engine.spark.read.schema(schema).parquet(path).offset(skip).limit(left).collect(), schema)
+                at += count
         nxt = start + len(rows)
         return rows, nxt if rows and nxt < job.total else None
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,8 +54,8 @@ class When:
     sets: dict[str, str] = field(default_factory=dict)
 
 
-def update(spark: SparkSession, table: str, alias: str, schema: T.StructType, sets: dict[str, str], where: str, source: str | None) -> tuple[DataFrame, DataFrame]:
-    """(new contents, rows changed counted as one row)."""
+def update(spark: SparkSession, table: str, alias: str, schema: T.StructType, sets: dict[str, str], where: str, source: str | None) -> tuple[DataFrame, Observation]:
+    """(new contents, which count the rows changed as they are written)."""
     if source:  # UPDATE ... FROM is a merge of the joined rows
         return merge(spark, table, alias, schema, source, where, [When("matched", None, "update", sets)])
     hit = f"coalesce(({where}), FALSE)"
@@ -64,8 +64,7 @@ def update(spark: SparkSession, table: str, alias: str, schema: T.StructType, se
         old = f"{quote(alias)}.{quote(f.name)}"
         e = sets.get(f.name.lower())
         cols.append(f"CASE WHEN {hit} THEN {_as(spark, e, f, table, alias)} ELSE {old} END AS {quote(f.name)}" if e is not None else f"{old} AS {quote(f.name)}")
-    rows = f"FROM {table} AS {quote(alias)}"
-    return spark.sql(f"SELECT {', '.join(cols)} {rows}"), spark.sql(f"SELECT count_if({hit}) AS n {rows}")
+    return _counted(spark.sql(f"SELECT {', '.join(cols)}, {hit} AS __hit FROM {table} AS {quote(alias)}"))
 
 
 def _as(spark: SparkSession, e: str, f: T.StructField, table: str, alias: str, more: str = "") -> str:
@@ -73,13 +72,18 @@ def _as(spark: SparkSession, e: str, f: T.StructField, table: str, alias: str, m
     return coerce(e, have, f.dataType)
 
 
-def delete(spark: SparkSession, table: str, alias: str, where: str) -> tuple[DataFrame, DataFrame]:
-    hit = f"coalesce(({where}), FALSE)"
-    rows = f"FROM {table} AS {quote(alias)}"
-    return spark.sql(f"SELECT {quote(alias)}.* {rows} WHERE NOT {hit}"), spark.sql(f"SELECT count_if({hit}) AS n {rows}")
+def _counted(rows: DataFrame, keep: str = "TRUE") -> tuple[DataFrame, Observation]:
+    """``rows`` where ``keep`` holds, without the columns added here; the rows with ``__hit`` are counted in the stage that writes."""
+    seen = Observation()
+    names = [c for c in rows.columns if c not in ("__hit", "__action")]
+    return rows.observe(seen, F.count_if("__hit").alias("n")).where(keep).select([quote(c) for c in names]), seen
+
+
+def delete(spark: SparkSession, table: str, alias: str, where: str) -> tuple[DataFrame, Observation]:
+    return _counted(spark.sql(f"SELECT {quote(alias)}.*, coalesce(({where}), FALSE) AS __hit FROM {table} AS {quote(alias)}"), "NOT __hit")
 
 
-def merge(spark: SparkSession, table: str, alias: str, schema: T.StructType, source: str, on: str, whens: list[When]) -> tuple[DataFrame, DataFrame]:
+def merge(spark: SparkSession, table: str, alias: str, schema: T.StructType, source: str, on: str, whens: list[When]) -> tuple[DataFrame, Observation]:
     """One join of target and source; the first clause whose condition holds decides a row.
 
     The join is as wide as the clauses need: without inserts it keeps the target's side
@@ -109,7 +113,6 @@ def merge(spark: SparkSession, table: str, alias: str, schema: T.StructType, sou
     out = spark.sql(f"SELECT {', '.join(cols)}, {action} AS __action, {quote(alias)}.__row AS __row {join}")
     drop = [i for i, w in enumerate(whens) if w.action == "delete"] + [-2]
     changed = [i for i, w in enumerate(whens) if w.kind == "matched"]
-    count = out.where(F.col("__action") >= 0).agg(F.count("*").alias("n"))
     if changed:  # a target row may be changed by one source row only
         from pyspark.sql import Window
 
@@ -119,5 +122,5 @@ def merge(spark: SparkSession, table: str, alias: str, schema: T.StructType, sou
         # other join partners of a row, for which no clause holds, are not more rows of the target
         rank = F.row_number().over(Window.partitionBy("__row").orderBy(F.desc("__action")))
         out = out.withColumn("__rank", F.when(F.col("__row").isNull(), 1).otherwise(rank)).where("__rank = 1")
-    kept = out.where(~F.col("__action").isin(drop)).select([quote(f.name) for f in schema.fields])
-    return kept, count
+    out = out.select(*[quote(f.name) for f in schema.fields], "__action", (F.col("__action") >= 0).alias("__hit"))
+    return _counted(out, f"__action NOT IN ({', '.join(map(str, drop))})")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -47,6 +48,16 @@ def create_session(app: str = "sparkloom", master: str | None = None, **conf: st
     return configure(b.getOrCreate())
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a temporary one for local masters where that is unset, an error for others."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
+    return base.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, unless they find it on their path already."""
     path = os.environ.get("PYTHONPATH", "").split(os.pathsep)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -198,7 +199,7 @@ class Catalog:
             if f["name"] in m["required"]:
                 f["mode"] = "REQUIRED"
             f |= {k: v for k, v in given.get(f["name"], {}).items() if k in ("description", "policyTags", "maxLength", "defaultValueExpression")}
-        return {**m["info"], "schema": {"fields": fields}, "type": "VIEW" if "view" in m else "TABLE"}
+        return {**m["info"], "schema": {"fields": fields}, "type": "MATERIALIZED_VIEW" if "materializedView" in m["info"] else "VIEW" if "view" in m else "TABLE"}
 
     def patch_table(self, name: tuple[str, str, str], resource: dict, merge: bool) -> None:
         """New description, labels and the like; columns may be added at the end."""
@@ -261,8 +262,12 @@ class Catalog:
         """Adds rows; ``df`` has the table's columns in order."""
         self.checked(name, df).write.insertInto(self.ident(name))
 
-    def replace(self, name: tuple[str, str, str], df: DataFrame) -> None:
-        """New contents, also if ``df`` reads the table: a new folder, to which the table is then pointed."""
+    def replace(self, name: tuple[str, str, str], df: DataFrame, changed: Callable[[], int] | None = None) -> int | None:
+        """New contents, also if ``df`` reads the table: a new folder, to which the table is then pointed.
+
+        ``changed`` counts the rows that differ, once they are written; if none do, the
+        table stays as it is.
+        """
         p, d, t = name
         m, db, key = self.info(name), database(p, d), encode(t)
         old, new = m["location"], self._location(db, key)
@@ -270,11 +275,16 @@ class Catalog:
         order = [f.name for f in df.schema.fields if f.name not in m["partition"]] + m["partition"]
         w = df.select([quote(c) for c in order]).write
         (w.partitionBy(*m["partition"]) if m["partition"] else w).parquet(new)
+        n = changed() if changed else None
+        if n == 0:
+            self.files.delete(new)
+            return n
         m["location"], m["spark"] = new, T.StructType([df.schema[c] for c in order]).jsonValue()
         self.spark.sql(f"DROP TABLE {self.ident(name)}")
         self._register(db, key, m)
         self._save(db)
         self.files.delete(old)
+        return n
 
     def wildcard(self, parts: list[str], scope: Scope) -> list[tuple[str, tuple[str, str, str]]]:
         """(suffix, table) of the tables that begin with the last part."""

@@ -28,7 +28,7 @@ class Files:
             stream.close()
 
     def write_json(self, path: str, value) -> None:
-        """Written beside and renamed, so that a reader never sees half of it."""
+        """Written beside and renamed over the old file in one step, so that a reader sees the old one or the new one."""
         fs, p = self._at(path)
         tmp = self._jvm.org.apache.hadoop.fs.Path(p.toString() + ".new")
         out = fs.create(tmp, True)
@@ -36,8 +36,9 @@ class Files:
             out.write(bytearray(json.dumps(value).encode()))
         finally:
             out.close()
-        fs.delete(p, False)
-        fs.rename(tmp, p)
+        over = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(p).toUri(), self._conf).rename(fs.makeQualified(tmp), fs.makeQualified(p), over)
 
     def list(self, path: str) -> list[str]:
         fs, p = self._at(path)

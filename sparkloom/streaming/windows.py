@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_folder
+
 DELAY = "10 minutes"
 
 
@@ -61,9 +62,7 @@ def run_once(stream: DataFrame, mode: str = "complete", checkpoint: str | None =
     """
     spark = stream.sparkSession
     name = f"s_{uuid.uuid4().hex}"
-    base = checkpoint or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="sparkloom-stream-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir") + "/_streams"
+    base = checkpoint or shared_folder(spark)
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True)
     if mode == "append":
         q = w.format("parquet").start(f"{base}/{name}-out")
