@@ -147,4 +147,45 @@ SUITE: dict[str, tuple[str, str | None]] = {
     "shipping_priority": (f"SELECT l.l_orderkey, ROUND(SUM({_REV}), 2) AS revenue, o.o_orderdate FROM customer AS c, orders AS o, lineitem AS l WHERE c.c_mktsegment = 'BUILDING' AND c.c_custkey = o.o_custkey AND l.l_orderkey = o.o_orderkey AND o.o_orderdate < DATETIME '1995-03-15' AND l.l_shipdate > DATETIME '1995-03-15' GROUP BY l.l_orderkey, o.o_orderdate ORDER BY revenue DESC, o.o_orderdate, l.l_orderkey LIMIT 10", f"SELECT l.l_orderkey, ROUND(SUM({_REV}), 2) AS revenue, o.o_orderdate FROM customer AS c, orders AS o, lineitem AS l WHERE c.c_mktsegment = 'BUILDING' AND c.c_custkey = o.o_custkey AND l.l_orderkey = o.o_orderkey AND o.o_orderdate < TIMESTAMP '1995-03-15' AND l.l_shipdate > TIMESTAMP '1995-03-15' GROUP BY l.l_orderkey, o.o_orderdate ORDER BY revenue DESC, o.o_orderdate, l.l_orderkey LIMIT 10"),
     "forecast_revenue": ("SELECT ROUND(SUM(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24", None),
     "large_orders": ("SELECT o.o_orderkey, ROUND(SUM(l.l_quantity), 2) AS q FROM orders AS o JOIN lineitem AS l ON o.o_orderkey = l.l_orderkey WHERE o.o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING SUM(l_quantity) > 150) GROUP BY o.o_orderkey", None),
+    # ------------------------------------------------------------ casts, JSON and rarer functions
+    "cast_float": (
+        "SELECT n_nationkey, CAST(n_nationkey / 2 - 3 AS INT64) AS a, SAFE_CAST(n_nationkey / 4 AS INT64) AS b, CAST(CAST(n_nationkey AS NUMERIC) / 2 AS INT64) AS c, CAST(-1.5 AS INT64) AS d FROM nation",
+        "SELECT n_nationkey, CAST(sign(x) * floor(abs(x) + 0.5) AS BIGINT) AS a, CAST(floor(n_nationkey / 4 + 0.5) AS BIGINT) AS b, CAST(floor(n_nationkey / 2 + 0.5) AS BIGINT) AS c, CAST(-2 AS BIGINT) AS d FROM (SELECT *, n_nationkey / 2 - 3 AS x FROM nation)",
+    ),
+    "cast_float_string": ("SELECT CAST(x AS STRING) AS s FROM UNNEST([1e20, 1.0, 1.5, 0.0001, 0.00001, 1e14, 1e15, -2.25]) AS x", "SELECT unnest(['1e+20', '1', '1.5', '0.0001', '1e-05', '100000000000000', '1e+15', '-2.25']) AS s"),
+    "cast_timestamp_string": (
+        "SELECT event_id, CAST(TIMESTAMP(ts) AS STRING) AS s FROM events",
+        "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' WHEN microsecond(ts) % 1000 = 0 THEN strftime(ts, '.%g') ELSE strftime(ts, '.%f') END || '+00' AS s FROM events",
+    ),
+    "json_value_text": (
+        """SELECT event_id, JSON_VALUE(CONCAT('{"a": "[', event_type, '"}'), '$.a') AS a, JSON_VALUE(CONCAT('{"a": "{x}", "b": ', props, '}'), '$.b') AS b, JSON_VALUE(CONCAT('{"a": [', props, ']}'), '$.a[0].k') AS c, JSON_EXTRACT_SCALAR(props, '$.k') AS d FROM events""",
+        "SELECT event_id, '[' || event_type AS a, CAST(NULL AS VARCHAR) AS b, json_extract_string(props, '$.k') AS c, json_extract_string(props, '$.k') AS d FROM events",
+    ),
+    "json_extract_text": ("""SELECT event_id, JSON_EXTRACT(props, '$.k') AS a, JSON_EXTRACT(CONCAT('{"x": ', props, '}'), '$.x') AS b FROM events""", "SELECT event_id, json_extract_string(props, '$.k') AS a, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS b FROM events"),
+    "json_keys": ("""SELECT k FROM UNNEST(JSON_KEYS(JSON '{"b": {"c": 1, "d": {"e": 2}}, "a": [{"z": 1}]}')) AS k""", "SELECT unnest(['a', 'b', 'b.c', 'b.d', 'b.d.e']) AS k"),
+    "json_literal": ("""SELECT n_nationkey, JSON_VALUE(JSON '{"a": {"b": "x"}}', '$.a.b') AS v FROM nation""", "SELECT n_nationkey, 'x' AS v FROM nation"),
+    "agg_percentile_disc": (
+        "SELECT DISTINCT c_nationkey, PERCENTILE_DISC(c_acctbal, 0.5) OVER (PARTITION BY c_nationkey) AS p FROM customer",
+        "SELECT c_nationkey, quantile_disc(c_acctbal, 0.5) AS p FROM customer GROUP BY 1",
+    ),
+    "agg_mode": ("SELECT MODE(n) AS m FROM (SELECT IF(n_nationkey < 20, 7, n_nationkey) AS n FROM nation)", "SELECT CAST(7 AS BIGINT) AS m"),
+    "agg_filter": ("SELECT n_regionkey, COUNT(*) FILTER (WHERE n_nationkey > 10) AS n, SUM(n_nationkey) FILTER (WHERE n_nationkey < 15) AS s FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, COUNT(*) FILTER (WHERE n_nationkey > 10) AS n, CAST(SUM(n_nationkey) FILTER (WHERE n_nationkey < 15) AS BIGINT) AS s FROM nation GROUP BY n_regionkey"),
+    "math_more": (
+        "SELECT c_custkey, CEILING(c_acctbal) AS a, SIGN(c_acctbal) AS b, ROUND(SIN(c_acctbal), 8) AS c, ROUND(COS(c_acctbal), 8) AS d, ROUND(TAN(c_acctbal / 10000), 8) AS e, ROUND(ATAN2(c_acctbal, 2), 8) AS f, c_custkey & 12 AS g, c_custkey | 3 AS h, c_custkey ^ 5 AS i, c_custkey << 2 AS j, c_custkey >> 1 AS k, RAND() BETWEEN 0 AND 1 AS l FROM customer",
+        "SELECT c_custkey, CEIL(c_acctbal) AS a, CAST(SIGN(c_acctbal) AS DOUBLE) AS b, ROUND(SIN(c_acctbal), 8) AS c, ROUND(COS(c_acctbal), 8) AS d, ROUND(TAN(c_acctbal / 10000), 8) AS e, ROUND(ATAN2(c_acctbal, 2), 8) AS f, c_custkey & 12 AS g, c_custkey | 3 AS h, xor(c_custkey, 5) AS i, c_custkey * 4 AS j, c_custkey // 2 AS k, TRUE AS l FROM customer",
+    ),
+    "str_more": (
+        "SELECT n_nationkey, SUBSTRING(n_name, 2, 3) AS a, INITCAP(LOWER(n_name)) AS b, LENGTH(GENERATE_UUID()) AS c, INSTR(n_name, 'A', 1, 2) AS d, INSTR(n_name, 'A', -1, 1) AS e, n_name LIKE ANY ('A%', '%N') AS f, n_name NOT LIKE ANY ('A%', '%N') AS g FROM nation",
+        "SELECT n_nationkey, substring(n_name, 2, 3) AS a, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS b, CAST(36 AS INTEGER) AS c, CAST(CASE WHEN instr(n_name, 'A') > 0 AND instr(substr(n_name, instr(n_name, 'A') + 1), 'A') > 0 THEN instr(n_name, 'A') + instr(substr(n_name, instr(n_name, 'A') + 1), 'A') ELSE 0 END AS BIGINT) AS d, CAST(CASE WHEN instr(n_name, 'A') = 0 THEN 0 ELSE length(n_name) + 1 - instr(reverse(n_name), 'A') END AS BIGINT) AS e, n_name LIKE 'A%' OR n_name LIKE '%N' AS f, NOT (n_name LIKE 'A%' OR n_name LIKE '%N') AS g FROM nation",
+    ),
+    "timestamp_more": (
+        "SELECT event_id, DATETIME(TIMESTAMP_ADD(TIMESTAMP(ts), INTERVAL 90 MINUTE)) AS a, DATETIME(TIMESTAMP_SUB(TIMESTAMP(ts), INTERVAL 2 DAY)) AS b, DATETIME(TIMESTAMP_TRUNC(TIMESTAMP(ts), HOUR)) AS c FROM events",
+        "SELECT event_id, ts + INTERVAL 90 MINUTE AS a, ts - INTERVAL 2 DAY AS b, date_trunc('hour', ts) AS c FROM events",
+    ),
+    "current_functions": ("SELECT CURRENT_DATE() >= DATE '2020-01-01' AS a, CURRENT_TIMESTAMP() > TIMESTAMP '2020-01-01' AS b, CURRENT_TIME() >= TIME '00:00:00' AS c, CURRENT_DATETIME() > DATETIME '2020-01-01' AS d", "SELECT TRUE AS a, TRUE AS b, TRUE AS c, TRUE AS d"),
+    "time_literal": ("SELECT CAST(TIME '12:34:56' AS STRING) AS a, TIME '12:00:00' < TIME '12:00:01' AS b", "SELECT '12:34:56' AS a, TRUE AS b"),
+    "comments": ("SELECT n_nationkey -- a\nFROM nation # b\nWHERE /* c */ n_regionkey = 1", "SELECT n_nationkey FROM nation WHERE n_regionkey = 1"),
+    "safe_prefix": ("SELECT n_nationkey, SAFE.LN(n_nationkey - 3) IS NULL AS a, SAFE.DIV(10, n_nationkey) AS b, SAFE.PARSE_DATE('%Y-%m-%d', n_name) AS c FROM nation", "SELECT n_nationkey, n_nationkey <= 3 AS a, CAST(CASE WHEN n_nationkey <> 0 THEN 10 // n_nationkey END AS BIGINT) AS b, CAST(NULL AS DATE) AS c FROM nation"),
+    "exists_unnest": ("SELECT vec_id FROM embeddings WHERE EXISTS(SELECT 1 FROM UNNEST(embedding) AS v WHERE v > 0.25) AND NOT EXISTS(SELECT 1 FROM UNNEST(embedding) AS v WHERE v < -0.3)", "SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda v: v > 0.25)) > 0 AND len(list_filter(embedding, lambda v: v < -0.3)) = 0"),
+    "unnest_left_offset": ("SELECT t.k, x, o FROM (SELECT n_nationkey AS k, IF(n_nationkey < 3, ['p', 'q'], []) AS a FROM nation) AS t LEFT JOIN UNNEST(t.a) AS x WITH OFFSET AS o", "SELECT n_nationkey AS k, x, o FROM nation LEFT JOIN (VALUES ('p', 0), ('q', 1)) AS v(x, o) ON n_nationkey < 3"),
 }

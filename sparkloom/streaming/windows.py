@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,11 +56,32 @@ def dedup(df: DataFrame, keys: list[str], ts: str = "ts", delay: str = DELAY) ->
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
 
 
+def running(df: DataFrame, key: str, value: str) -> DataFrame:
+    """``(key, n, total)``: rows and sum of ``value`` so far of each key that a batch has rows of.
+
+    State of one count and one sum a key is kept between the batches of a stream; a batch
+    table gives the totals.
+    """
+    rows = df.select(F.col(key).alias(key), F.col(value).cast("double").alias("v"))
+    if not df.isStreaming:
+        return rows.groupBy(key).agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def add(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        n, total = state.get if state.exists else (0, 0.0)
+        for pdf in batches:
+            n, total = n + len(pdf), total + float(pdf["v"].sum())
+        state.update((n, total))
+        yield pd.DataFrame({key: [k[0]], "n": [n], "total": [round(total, 4)]})
+
+    return rows.groupBy(key).applyInPandasWithState(add, f"`{key}` {kind}, n long, total double", "n long, total double", "update", "NoTimeout")
+
+
 def run_once(stream: DataFrame, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
     """Runs a stream over what there is and gives the sink's contents.
 
     The sink is Parquet below the checkpoint folder for ``append``, memory for
-    ``complete`` (the state is as large then anyway).
+    ``complete`` (the state is as large then anyway) and ``update``.
     """
     spark = stream.sparkSession
     name = f"s_{uuid.uuid4().hex}"
