@@ -33,9 +33,9 @@ SCHEMAS = {
 }
 
 
-def _text(value: str) -> str:
-    """A JSON string; a surrogate without its other half, which no UTF-8 text can hold, stays escaped."""
-    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(value, ensure_ascii=False))
+def _escaped(text: str) -> str:
+    """``text`` with surrogates that lack their other half, which no UTF-8 text can hold, as escapes; they occur in strings only."""
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 _SURROGATE = re.compile("[\ud800-\udfff]")
@@ -43,6 +43,24 @@ _SURROGATE = re.compile("[\ud800-\udfff]")
 
 def canonical(value) -> str:
     """Canonical JSON: sorted keys, no spaces, integers for whole doubles, no escapes but the necessary ones; values nested to any depth."""
+
+    def clean(v):
+        if isinstance(v, float):
+            if not math.isfinite(v):
+                return None
+            return int(v) if v == int(v) and abs(v) < 2**53 else v
+        if isinstance(v, dict):
+            return {k: clean(x) for k, x in v.items()}
+        return [clean(x) for x in v] if isinstance(v, (list, tuple)) else v
+
+    try:
+        return _escaped(json.dumps(clean(value), sort_keys=True, ensure_ascii=False, separators=(",", ":")))
+    except RecursionError:
+        return _escaped(_deep(value))
+
+
+def _deep(value) -> str:
+    """The same without recursion."""
     out: list[str] = []
     todo: list[tuple[bool, object]] = [(False, value)]  # (written already, value), last first
     while todo:
@@ -54,14 +72,14 @@ def canonical(value) -> str:
             todo.append((True, "}"))
             keys = sorted(v)
             for i in range(len(keys) - 1, -1, -1):
-                todo += [(False, v[keys[i]]), (True, ("," if i else "") + _text(keys[i]) + ":")]
+                todo += [(False, v[keys[i]]), (True, ("," if i else "") + json.dumps(keys[i], ensure_ascii=False) + ":")]
         elif isinstance(v, (list, tuple)):
             out.append("[")
             todo.append((True, "]"))
             for i in range(len(v) - 1, -1, -1):
                 todo += [(False, v[i]), (True, "," if i else "")]
         elif isinstance(v, str):
-            out.append(_text(v))
+            out.append(json.dumps(v, ensure_ascii=False))
         elif isinstance(v, float):
             out.append("null" if not math.isfinite(v) else str(int(v)) if v == int(v) and abs(v) < 2**53 else repr(v))
         else:

@@ -224,6 +224,14 @@ def test_canonical_json():
     assert json.loads(chat.canonical({"x": [1, {"k": "v"}]})) == {"x": [1, {"k": "v"}]}
 
 
+def test_deep_values_are_written_alike():
+    value = {"b": [1.0, 2.5, float("nan"), None, True, "\ud800é", {"z": [], "a": {}, "A": -0.0}], "a": 2**60}
+    assert chat.canonical(value) == chat._escaped(chat._deep(value))
+    for _ in range(5000):
+        value = [value]
+    assert chat.canonical(value).startswith("[" * 5000 + '{"a":')
+
+
 def test_schema_validation():
     s = {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": "integer", "minimum": 1, "maximum": 5}, "b": {"type": "array", "items": {"type": "string", "pattern": "^x"}, "maxItems": 2}, "c": {"enum": [1, "q"]}, "d": {"anyOf": [{"type": "null"}, {"type": "number"}]}}}
     assert chat.violations({"a": 3, "b": ["x1"], "c": "q", "d": None}, s) == []
