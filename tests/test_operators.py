@@ -92,3 +92,23 @@ def test_batch_and_stream_agree(spark):
     batch = spark.read.parquet(f"{SF}/events.parquet")
     for make in (lambda d: windows.tumbling(d, "2 hours", ["event_type"], F.count("*").alias("n")), lambda d: windows.sessions(d, "1 hour", ["user_id"], F.count("*").alias("n"))):
         assert sorted(map(tuple, windows.run_once(make(ev)).collect())) == sorted(map(tuple, make(batch).collect()))
+
+
+@pytest.mark.parametrize("name", ["unnest_left", "unnest_left_offset", "array_subquery", "exists_unnest"])
+def test_unnest_needs_no_join(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation [") == 1
+
+
+def test_large_results_are_paged_by_file_in_order(engine, monkeypatch):
+    from sparkloom import jobs
+
+    monkeypatch.setattr(jobs, "KEEP", 50)
+    runs = jobs.Jobs(engine)
+    job = runs.submit("project1", {"query": {"query": "SELECT x FROM UNNEST(GENERATE_ARRAY(1, 1000)) AS x ORDER BY x DESC"}})
+    assert runs.wait(job, 120) and job.error is None and job.total == 1000 and job.rows is None
+    got, at = [], 0
+    while at is not None:
+        rows, at = runs.page(job, at, 130)
+        got += [int(r["f"][0]["v"]) for r in rows]
+    assert got == list(range(1000, 0, -1))
