@@ -269,3 +269,13 @@ def test_near_copies_in_scripts_without_spaces():
         near = [rng.choice(some(9)) if rng.random() < 0.02 else c for c in text]
         a, b, c = (set(minhash.shingles("".join(x)).tolist()) for x in (text, near, some(1000)))
         assert len(a & b) / len(a | b) > 0.7 and len(a & c) / len(a | c) < 0.1
+
+
+def test_a_million_empty_texts(spark):
+    """Rows of one text are never gathered: each comes back on its own."""
+    n = 1_000_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    out = exact_dedup.exact_copies(df)
+    got = out.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"), F.min("duplicate_of").alias("lo"), F.max("duplicate_of").alias("hi"), F.min("doc_id").alias("first")).first()
+    assert tuple(got) == (n - 1, n - 1, 0, 0, 1)
+    assert exact_dedup.drop_exact_copies(df).collect() == [(0, "")]
