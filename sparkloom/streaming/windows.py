@@ -80,17 +80,23 @@ def running(df: DataFrame, key: str, value: str) -> DataFrame:
 def run_once(stream: DataFrame, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
     """Runs a stream over what there is and gives the sink's contents.
 
-    The sink is Parquet below the checkpoint folder for ``append``, memory for
-    ``complete`` (the state is as large then anyway) and ``update``.
+    The sink is Parquet below the checkpoint folder, written by the executors: what each
+    batch adds for ``append`` and ``update``, what the last one gives for ``complete``.
     """
     spark = stream.sparkSession
     name = f"s_{uuid.uuid4().hex}"
     base = checkpoint or shared_folder(spark)
+    out = f"{base}/{name}-out"
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True)
     if mode == "append":
-        q = w.format("parquet").start(f"{base}/{name}-out")
-        q.awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{base}/{name}-out")
-    q = w.format("memory").queryName(name).start()
-    q.awaitTermination()
-    return spark.table(name)
+        w.format("parquet").start(out).awaitTermination()
+        return spark.read.schema(stream.schema).parquet(out)
+    paths: dict[str, None] = {}
+
+    def write(batch: DataFrame, number: int) -> None:
+        path = out if mode == "complete" else f"{out}/{number}"
+        batch.write.mode("overwrite").parquet(path)  # a batch that is repeated replaces itself
+        paths[path] = None
+
+    w.foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)

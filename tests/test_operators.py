@@ -94,6 +94,23 @@ def test_batch_and_stream_agree(spark):
         assert sorted(map(tuple, windows.run_once(make(ev)).collect())) == sorted(map(tuple, make(batch).collect()))
 
 
+def test_stream_results_are_files(spark, tmp_path):
+    """The sink of every mode is Parquet; nothing of it is kept by the driver. Of several batches ``complete`` gives the last, ``update`` all."""
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    for k, rows in enumerate([[(1, at(0), 1.0), (2, at(5), 2.0)], [(1, at(20), 4.0)]]):
+        spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, value double").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    schema = spark.read.parquet(str(tmp_path / "in/0")).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    sessions = windows.run_once(windows.sessions(stream, "30 minutes", ["user_id"], F.count("*").alias("n")))
+    assert sessions.inputFiles() and sorted((r.user_id, r.n) for r in sessions.collect()) == [(1, 2), (2, 1)]
+    totals = windows.run_once(windows.running(stream, "user_id", "value"), "update")
+    last = {r.user_id: (r.n, r.total) for r in sorted(totals.collect(), key=lambda r: r.n)}
+    assert totals.inputFiles() and last == {1: (2, 5.0), 2: (1, 2.0)}
+    (tmp_path / "none").mkdir()
+    nothing = spark.readStream.schema(schema).parquet(str(tmp_path / "none"))
+    assert windows.run_once(windows.sessions(nothing, "30 minutes", ["user_id"], F.count("*").alias("n"))).collect() == []
+
+
 @pytest.mark.parametrize("name", ["unnest_left", "unnest_left_offset", "array_subquery", "exists_unnest"])
 def test_unnest_needs_no_join(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
